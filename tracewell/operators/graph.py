@@ -47,3 +47,193 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
 def _checksum(e: DataFrame) -> tuple:
     row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
     return tuple(row)
+
+
+def flow_edges(ledger: Ledger, links: DataFrame | None = None) -> DataFrame:
+    """Value-weighted flow between addresses: (src, dst, w), w = input share x output amount summed over transactions.
+
+    Repeated addresses of a side are added up before the sides meet, which leaves the sum of products unchanged. Mixing
+    transactions that were traversed contribute probability x amount of their links instead.
+    """
+    tin, tout = ledger.tin, ledger.tout
+    if links is not None:
+        mixed = links.select("txid").distinct()
+        tin, tout = tin.join(mixed, "txid", "left_anti"), tout.join(mixed, "txid", "left_anti")
+    total = tin.groupBy("txid").agg(F.greatest(F.sum("amount"), F.lit(1e-12)).alias("total"))
+    ins = tin.groupBy("txid", F.col("address").alias("src")).agg(F.sum("amount").alias("a"))
+    outs = tout.groupBy("txid", F.col("address").alias("dst")).agg(F.sum("amount").alias("b"))
+    e = (ins.join(total, "txid").select("txid", "src", (F.col("a") / F.col("total")).alias("share")).join(outs, "txid")
+         .where("src <> dst").select("src", "dst", (F.col("share") * F.col("b")).alias("w")))
+    if links is not None:
+        e = e.unionByName(links.select("src", "dst", (F.col("prob") * F.col("amount")).alias("w")))
+    return e.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+
+
+def node_degree(edges: DataFrame, hub_degree: int = SETTINGS.hub_degree) -> DataFrame:
+    """(node, degree, is_hub): number of edges at either end."""
+    return (edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+            .withColumn("is_hub", F.col("degree") > hub_degree))
+
+
+def reverse(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
+
+
+def pagerank(edges: DataFrame, seeds: DataFrame | None, max_rounds: int = SETTINGS.pagerank_max_rounds, tol: float = SETTINGS.pagerank_tol,
+             alpha: float = SETTINGS.pagerank_alpha, weight: str | None = "w", nodes: DataFrame | None = None) -> DataFrame:
+    """(node, rank): weighted PageRank with restart on ``seeds`` (everywhere when None); dangling mass goes to the restart set.
+
+    Starts uniform and stops when the L1 change is below N x tol. Only two numbers per round reach the driver.
+    """
+    w = F.col(weight) if weight else F.lit(1.0)
+    out = edges.groupBy("src").agg(F.sum(w).alias("t"))
+    trans = stage(edges.join(out, "src").select("src", "dst", (w / F.col("t")).alias("p")), "pr-trans")
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    if nodes is not None:
+        ends = ends.union(nodes.select("node"))
+    base = ends.distinct().join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left")
+    base = base.withColumn("dangling", F.coalesce("dangling", F.lit(True)))
+    if seeds is None:
+        base = base.withColumn("s", F.lit(1.0))
+    else:
+        base = base.join(seeds.select(F.col("address").alias("node"), F.lit(1.0).alias("s")), "node", "left").fillna({"s": 0.0})
+    base = stage(base, "pr-nodes")
+    n, total_s, n_dangling = base.agg(F.count(F.lit(1)), F.sum("s"), F.sum(F.col("dangling").cast("double"))).first()
+    if not n or not total_s:
+        return base.select("node", F.lit(0.0).alias("rank"))
+    cur = base.select("node", "dangling", "s", F.lit(1.0 / n).alias("rank"))
+    dangling, old = n_dangling / n, None
+    for _ in range(max_rounds):
+        into = cur.join(trans, cur.node == trans.src).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("inflow"))
+        nxt = cur.join(into, "node", "left").select(
+            "node", "dangling", "s",
+            (alpha * F.coalesce("inflow", F.lit(0.0)) + (alpha * dangling + 1 - alpha) * F.col("s") / F.lit(float(total_s))).alias("rank"),
+            F.col("rank").alias("prev"))
+        nxt = stage(nxt, "pr-round")
+        delta, dangling = nxt.agg(F.sum(F.abs(F.col("rank") - F.col("prev"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()
+        if old is not None:
+            drop_stage(old)
+        cur = old = nxt
+        if delta < n * tol:
+            break
+    return cur.select("node", "rank")
+
+
+def scaled_to_max(ranks: DataFrame, out: str) -> DataFrame:
+    top = ranks.agg(F.max("rank")).first()[0] or 1.0
+    return ranks.select("node", (F.col("rank") / F.lit(float(top or 1.0))).alias(out))
+
+
+def haircut_taint(edges: DataFrame, seeds: DataFrame, hub_degree: int = SETTINGS.hub_degree, rounds: int = SETTINGS.taint_rounds,
+                  decay: float = SETTINGS.taint_decay, stage_every: int = 4) -> DataFrame:
+    """(node, taint) of every node with taint > 0: the decayed share of incoming value that traces back to seeds.
+
+    Hubs take taint in and pass none on. Only tainted nodes are carried from round to round.
+    """
+    hubs = node_degree(edges, hub_degree).where("is_hub").select(F.col("node").alias("src"))
+    in_w = edges.groupBy("dst").agg(F.sum("w").alias("t"))
+    share = (edges.join(in_w, "dst").join(hubs, "src", "left_anti")
+             .select("src", "dst", (F.col("w") / F.when(F.col("t") == 0, 1.0).otherwise(F.col("t"))).alias("p")))
+    share = stage(share, "taint-edges")
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    start = stage(seeds.select(F.col("address").alias("node")).join(nodes, "node", "left_semi").withColumn("taint", F.lit(1.0)), "taint-seeds")
+    cur = start
+    for i in range(rounds):
+        flow = (cur.join(share, cur.node == share.src).groupBy("dst").agg(F.sum(F.col("taint") * F.col("p")).alias("f"))
+                .select(F.col("dst").alias("node"), F.least(F.lit(1.0), F.lit(decay) * F.col("f")).alias("taint")))
+        cur = start.unionByName(flow.join(start.select("node"), "node", "left_anti").where("taint > 0"))
+        if (i + 1) % stage_every == 0:
+            cur = stage(cur, "taint-round")
+    return cur
+
+
+def bfs_hops(edges: DataFrame, seeds: DataFrame, max_hops: int = SETTINGS.max_hops, hub_degree: int = SETTINGS.hub_degree,
+             undirected: bool = False, with_path: bool = False) -> DataFrame:
+    """(node, hops[, path]) for nodes within reach of the seeds; hubs are entered but not passed, unless they are seeds.
+
+    Of several parents in one step the smallest is kept, so paths are reproducible. Use :func:`reverse` for upstream hops.
+    """
+    deg = node_degree(edges, hub_degree)
+    arcs = edges.select("src", "dst")
+    if undirected:
+        arcs = arcs.union(arcs.select("dst", "src")).distinct()
+    arcs = arcs.join(deg.select(F.col("node").alias("src"), "is_hub"), "src")
+    start = seeds.select(F.col("address").alias("node")).join(deg.select("node"), "node", "left_semi")
+    seen = stage(start.select("node", F.lit(0).alias("hops"), F.array("node").alias("path")), "bfs-0")
+    frontier, levels, passing = seen, [seen], F.lit(True)
+    for hop in range(1, max_hops + 1):
+        step = frontier.join(arcs.where(passing), F.col("node") == F.col("src")).select(F.col("dst"), "path", F.col("node").alias("parent"))
+        if with_path:
+            best = step.groupBy("dst").agg(F.min(F.struct("parent", "path")).alias("b")).select(
+                F.col("dst").alias("node"), F.lit(hop).alias("hops"), F.concat("b.path", F.array("dst")).alias("path"))
+        else:
+            best = step.select(F.col("dst").alias("node"), F.lit(hop).alias("hops"), F.array().cast("array<string>").alias("path")).distinct()
+        known = levels[0].select("node")
+        for level in levels[1:]:
+            known = known.union(level.select("node"))
+        frontier = stage(best.join(known, "node", "left_anti"), f"bfs-{hop}")
+        if frontier.isEmpty():
+            break
+        levels.append(frontier)
+        passing = ~F.col("is_hub")
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out if with_path else out.drop("path")
+
+
+def hop_features(down: DataFrame, up: DataFrame, anyway: DataFrame, nodes: DataFrame, s=SETTINGS) -> DataFrame:
+    """The three hop counts per node: missing means 99, and everything is capped at 20."""
+    name = lambda df, c: df.select("node", F.col("hops").alias(c))
+    j = nodes.select("node")
+    for df, c in ((down, "hops_from_seed"), (up, "hops_to_seed"), (anyway, "hops_any_seed")):
+        j = j.join(name(df, c), "node", "left")
+    cap = lambda c: F.least(F.coalesce(c, F.lit(s.hops_missing)), F.lit(s.hops_cap)).alias(c)
+    return j.select("node", cap("hops_from_seed"), cap("hops_to_seed"), cap("hops_any_seed"))
+
+
+def sign_features(edges: DataFrame, wallets: DataFrame, key: str, columns: list[str], hub_degree: int = SETTINGS.hub_degree,
+                  hops: int = 2) -> DataFrame:
+    """Mean of the standardised ``columns`` over 1- and 2-hop neighbours, along and against the flow, hubs cut out."""
+    filled = wallets.select(F.col(key).alias("node"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    stats = filled.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in columns for f in (F.avg, F.stddev_pop)]).first()  # one row
+    z = lambda c: (F.col(c) - F.lit(stats[f"avg_{c}"])) / F.lit(stats[f"stddev_pop_{c}"] or 1.0)
+    base = stage(filled.select("node", *[z(c).alias(c) for c in columns]), "sign-base")
+    hubs = node_degree(edges, hub_degree).where("is_hub").select("node")
+    live = base.select("node")
+    arcs = edges.select("src", "dst")
+    for end in ("src", "dst"):
+        arcs = (arcs.join(hubs.withColumnRenamed("node", end), end, "left_anti")
+                .join(live.withColumnRenamed("node", end), end, "left_semi"))
+    arcs = stage(arcs.select("src", "dst"), "sign-arcs")
+    result = live
+    for name, near, far in (("out", "src", "dst"), ("in", "dst", "src")):
+        h = base
+        for k in range(1, hops + 1):
+            # a neighbour without a row of its own counts as zero
+            h = (arcs.select(F.col(near).alias("at"), F.col(far).alias("node")).join(h, "node", "left").groupBy(F.col("at").alias("node"))
+                 .agg(*[F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in columns]))
+            h = stage(h, f"sign-{name}{k}")
+            result = result.join(h.select("node", *[F.col(c).alias(f"gnn_{name}{k}_{c}") for c in columns]), "node", "left")
+    return result.fillna(0.0).withColumnRenamed("node", key)
+
+
+def structure_features(edges: DataFrame, nodes: DataFrame, rounds: int = 100, tol: float = 1e-6) -> DataFrame:
+    """In- and out-degree, log PageRank, and the largest and mean degree of the (undirected) neighbours."""
+    arcs = edges.select("src", "dst").where("src <> dst").distinct()
+    out = arcs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out_degree"))
+    into = arcs.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("in_degree"))
+    both = arcs.union(arcs.select("dst", "src")).distinct().toDF("node", "other")
+    deg = both.groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
+    near = (both.join(deg.withColumnRenamed("node", "other"), "other").groupBy("node")
+            .agg(F.max("deg").alias("nbr_max_degree"), F.avg("deg").alias("nbr_mean_degree")))
+    ranks = pagerank(arcs, None, rounds, tol, weight=None, nodes=nodes)
+    return (nodes.select("node").join(out, "node", "left").join(into, "node", "left").join(ranks, "node").join(near, "node", "left")
+            .fillna(0, subset=["out_degree", "in_degree", "nbr_max_degree"]).fillna(0.0, subset=["nbr_mean_degree"])
+            .select("node", "in_degree", "out_degree", F.log("rank").alias("log_pagerank"), "nbr_max_degree", "nbr_mean_degree"))
+
+
+def sibling_funders(ledger: Ledger) -> DataFrame:
+    """(address, funder): the input addresses of the transactions that paid an address."""
+    paid = ledger.tout.select("txid", "address").distinct()
+    return paid.join(ledger.tin.select("txid", F.col("address").alias("funder")).distinct(), "txid").select("address", "funder").distinct()

@@ -22,11 +22,11 @@ cte("dout", ("tout",), "SELECT DISTINCT txid, address FROM tout")
 
 @query("wa1_wallet_totals", with_ctes(["wtot"], f"""
     SELECT address, n_recv, {r('recv_btc', 8)} AS recv_btc, n_spend, {r('sent_btc', 8)} AS sent_btc,
-           epoch_us(first_recv) AS first_recv_us, epoch_us(last_recv) AS last_recv_us, epoch_us(first_spend) AS first_spend_us, epoch_us(last_spend) AS last_spend_us FROM wtot"""))
+           coalesce(epoch_us(first_recv), -1) AS first_recv_us, coalesce(epoch_us(last_recv), -1) AS last_recv_us, coalesce(epoch_us(first_spend), -1) AS first_spend_us, coalesce(epoch_us(last_spend), -1) AS last_spend_us FROM wtot"""))
 def wa1(fx):
     w = Wf.wallet_totals(fx.a)
     return w.select("address", "n_recv", r6("recv_btc", 8).alias("recv_btc"), "n_spend", r6("sent_btc", 8).alias("sent_btc"),
-                    *[F.unix_micros(c).alias(f"{c}_us") for c in ("first_recv", "last_recv", "first_spend", "last_spend")])
+                    *[F.coalesce(F.unix_micros(c), F.lit(-1)).alias(f"{c}_us") for c in ("first_recv", "last_recv", "first_spend", "last_spend")])
 
 
 @query("wa2_wallet_times", with_ctes(["wtot"], f"""

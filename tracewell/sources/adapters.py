@@ -164,6 +164,22 @@ class Fixtures:
         tx = m.groupBy("txid").agg(F.min("ts").alias("ts"), F.round(F.lit(0.00002) * F.max("k"), 8).alias("fee"))
         return Ledger(tx, tin, tout, None)
 
+    # -- S: orders of seven lines and more as self-splits of a balance --------------------------------
+    @cached_property
+    def s(self) -> Ledger:
+        def build():
+            k = self.lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("k")).where("k >= 7")
+            li = self.lines.join(k, "l_orderkey")
+            t, p = F.col("l_orderkey"), F.col("l_partkey") % 50
+            amount = (F.when((F.col("l_linenumber") == 1) & (t % 2 == 0), 5.0)
+                      .otherwise(F.round(1 + F.when(t % 5 == 0, 0.05).otherwise(0.0005) * p, 8)))
+            return li.select(t.alias("txid"), "ts", (F.col("l_linenumber").cast("long") * 100_000_000_000 + F.col("l_partkey")).alias("idx"),
+                             F.concat_ws("_", F.lit("S"), t.cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"),
+                                         F.col("l_suppkey").cast("string")).alias("address"), amount.alias("amount"))
+        tout = self._stage("s-tout", build)
+        keep = tout.select("txid").distinct()
+        return Ledger(self.tx_a.join(keep, "txid", "left_semi"), self.tin_a.join(keep, "txid", "left_semi"), tout, None)
+
     # -- N ---------------------------------------------------------------------------------------
     @cached_property
     def obs(self) -> DataFrame:
