@@ -105,3 +105,35 @@ ACTION_PRIORITY = {
 OPERATOR_WEIGHTS = {"software": 1.0, "script": 0.5, "diurnal": 1.0, "fee": 0.3}
 HOUR_KERNEL = (0.25, 0.5, 0.25)
 # ----------------------------------------------------------------------------------------------
+
+# Title, rule and legal basis printed for every action -----------------------------
+ACTION_TEXT = {
+    "IMMEDIATE_FREEZE_DRAFT": (
+        "Draft freeze / hold request to exchange",
+        "Funds traced (≤ 4 hops) to a known exchange deposit made ≤ 30 min after receipt or ≤ 30 min before the latest data, and risk ≥ 65",
+        "Section 106 BNSS 2023 (seizure of property), request to the exchange to hold the credited funds"),
+    "DRAFT_SECTION_94_BNSS": (
+        "Draft Section 94 BNSS requisition (KYC + records)",
+        "Funds traced (≤ 4 hops) to an exchange that operates in India / is registered with FIU-IND",
+        "Section 94 BNSS 2023 (summons to produce documents or other things)"),
+    "CROSS_CHAIN_EXIT": (
+        "Funds left Bitcoin: request swap records, trace the other chain",
+        "Funds traced (≤ 4 hops) to a known swap service or bridge (e.g. BTC → XMR / ETH), or to a transaction whose OP_RETURN memo names a "
+        "swap destination. A Bitcoin freeze no longer reaches them",
+        "Section 94 BNSS 2023 to the swap service (Letter of Request, Section 112 BNSS, if offshore) for the order: payout chain, payout address, "
+        "IP, account; then trace on the destination chain"),
+    "FIU_REFERRAL_PACK": (
+        "Prepare FIU-IND intelligence referral pack",
+        "≥ 1 BTC moved, broadcast via Tor / VPN / bulletproof hosting, with a layering pattern (peel chain, CoinJoin or fan-out)",
+        "PMLA 2002 intelligence sharing; the pack goes to the IO / FIU-IND liaison, not filed as an STR"),
+    "PASSIVE_TAINT_MONITOR": (
+        "Put on passive taint watch",
+        "Unspent balance, dormant ≥ 6 h, linked to a seed wallet (taint > 0 or ≤ 4 hops)",
+        "No legal step yet. Watch the funds and re-alert when they move"),
+    "REVIEW_LIKELY_BENIGN": (
+        "Review as a likely false positive",
+        "The wallet is a known exchange / mining-pool address, or is funded by a mining pool with no seed link and no risky infrastructure",
+        "None. Confirm or reject; the verdict feeds model retraining"),
+    "ANALYST_REVIEW": ("Manual analyst review", "No directive rule matched. Read the reasons and evidence", "None"),
+}
+# ------------------------------------------------------------------------------------------------

@@ -187,7 +187,7 @@ def _follow_sql() -> str:
     cols = "start, hop, txid, n_out, change_address, change_amount, peeled_total, change_exchange, at_tx, seen"
     parts.append(f"""
   hops AS MATERIALIZED ({' UNION ALL '.join(f'SELECT {cols} FROM h{i}' for i in range(1, FOLLOW_HOPS + 1))}),
-  ends AS MATERIALIZED (SELECT a.address AS start, coalesce(CASE WHEN h.n_out >= 5 THEN 'split into ' || CAST(h.n_out AS VARCHAR) || ' outputs' WHEN h.change_exchange IS NOT NULL THEN 'cashed out to ' || h.change_exchange
+  ends AS MATERIALIZED (SELECT a.address AS start, coalesce(CASE WHEN h.start IS NULL THEN 'wallet never spends' WHEN h.n_out >= 5 THEN 'split into ' || CAST(h.n_out AS VARCHAR) || ' outputs' WHEN h.change_exchange IS NOT NULL THEN 'cashed out to ' || h.change_exchange
         WHEN h.hop = {FOLLOW_HOPS} THEN 'max hops reached' WHEN h.at_tx IS NULL THEN 'funds left unspent' WHEN list_contains(h.seen, h.at_tx) THEN 'loop' END, 'wallet never spends') AS stop,
         coalesce(h.hop, 0) AS hops, coalesce(h.peeled_total, 0) AS peeled_total FROM alerts a LEFT JOIN (SELECT * FROM hops QUALIFY row_number() OVER (PARTITION BY start ORDER BY hop DESC) = 1) h ON h.start = a.address)""")
     return ",".join(parts)
