@@ -20,7 +20,7 @@ from tracewell.sources import ingest as In
 
 # -- files to ingest: relays of adapter N with the transaction's lists, in awkward shapes ------------
 cte("recs", ("obs", "txarr", "tx"), """
-  SELECT o.txid AS t, lpad(to_hex(o.txid), 12, '0') AS txid, o.ts, o.src_ip, o.src_port, a.input_addresses AS ia, a.input_amounts AS im, a.output_addresses AS oa, a.output_amounts AS om, a.fee,
+  SELECT o.txid AS t, lower(lpad(to_hex(o.txid), 12, '0')) AS txid, o.ts, o.src_ip, o.src_port, a.input_addresses AS ia, a.input_amounts AS im, a.output_addresses AS oa, a.output_amounts AS om, a.fee,
          tx.script_type, tx.tx_version, tx.locktime, tx.rbf, tx.op_return, CASE WHEN o.txid % 50 = 7 THEN 'txid' WHEN o.txid % 50 = 8 THEN 'src_port' WHEN o.txid % 50 = 9 THEN 'timestamp' WHEN o.txid % 50 = 10 THEN 'missing' WHEN o.txid % 50 = 11 THEN 'rbf' END AS fault
   FROM obs o JOIN txarr a USING (txid) JOIN tx USING (txid)""")
 
@@ -316,7 +316,7 @@ UUID_SQL = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3
       SELECT sha1(unhex('{Ex.INDICATOR_NAMESPACE.replace('-', '')}') || CAST(x AS BLOB)) AS h, pattern, confidence FROM (
         SELECT entity_id AS x, '[x-cryptocurrency-wallet:address = ''' || entity_id || ''']' AS pattern, CAST(round_even(calibrated_confidence * 100, 0) AS INT) AS confidence FROM atab WHERE risk_score >= 65
         UNION ALL SELECT spy_ip, '[ipv4-addr:value = ''' || spy_ip || ''']', CAST(round_even(100 * CASE WHEN coalesce(c, 0) = 0 THEN 0.3 ELSE c END, 0) AS INT) FROM (
-          SELECT spy_ip, arg_max(round(1 - exp(-spy_delta / 1.5), 3), (risk_score, alert_id)) AS c FROM atab JOIN (
+          SELECT spy_ip, arg_max(struct_pack(c := round(1 - exp(-spy_delta / 1.5), 3)), (risk_score, alert_id)).c AS c FROM atab JOIN (
             SELECT m.address, arg_min(m.txid, (p_normal, ts, m.txid)) AS txid FROM (SELECT txid, address FROM din UNION SELECT txid, address FROM dout) m JOIN probs USING (txid) JOIN tx USING (txid) GROUP BY 1) e ON e.address = entity_id
           JOIN spy USING (txid) WHERE risk_score >= 65 GROUP BY 1)))"""))
 def out2(fx):
