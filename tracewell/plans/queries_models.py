@@ -332,3 +332,12 @@ def ev14(fx):
     d = fx.labels.select("address", "entity_id", "typology", "is_illicit").join(fx.scores.select("address", "n", "p", "anomaly"), "address")
     part = d.select(F.col("entity_id").alias("group"), "typology", "p", "anomaly", F.col("is_illicit").alias("y"), F.lit(1.0).alias("weight"), "n")
     return Ev.typology_corpus({"set1": part.where("n % 2 = 0").drop("anomaly", "n"), "set2": part.where("n % 2 = 1").drop("n")})
+
+
+@query("score_ledger_to_alerts")
+def score_all(fx):
+    """The whole way from the ledger of adapter A to alerts with their next step."""
+    from tracewell.plans.scoring import Effort, References, score
+    refs = References(fx.known, fx.seeds, fx.centroids, training_labels(fx), tx_labels(fx), fx.watchlist)
+    small = Effort(folds=2, repeats=1, iterations=4, depth=3, forest_trees=8, anomaly_trees=50)
+    return score(fx.a, refs, small)["alerts"].select("alert_id", "address", "cluster_id", "typology", "risk_score", "severity", "confidence", "action")
