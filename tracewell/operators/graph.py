@@ -153,11 +153,12 @@ def bfs_hops(edges: DataFrame, seeds: DataFrame, max_hops: int = SETTINGS.max_ho
 
     Of several parents in one step the smallest is kept, so paths are reproducible. Use :func:`reverse` for upstream hops.
     """
-    deg = node_degree(edges, hub_degree)
+    deg = stage(node_degree(edges, hub_degree), "bfs-degree")
     arcs = edges.select("src", "dst")
     if undirected:
         arcs = arcs.union(arcs.select("dst", "src")).distinct()
-    arcs = arcs.join(deg.select(F.col("node").alias("src"), "is_hub"), "src")
+    # every hop reads these arcs again, so they are written once
+    arcs = stage(arcs.join(deg.select(F.col("node").alias("src"), "is_hub"), "src"), "bfs-arcs")
     start = seeds.select(F.col("address").alias("node")).join(deg.select("node"), "node", "left_semi")
     seen = stage(start.select("node", F.lit(0).alias("hops"), F.array("node").alias("path")), "bfs-0")
     frontier, levels, passing = seen, [seen], F.lit(True)

@@ -339,5 +339,5 @@ def score_all(fx):
     """The whole way from the ledger of adapter A to alerts with their next step."""
     from tracewell.plans.scoring import Effort, References, score
     refs = References(fx.known, fx.seeds, fx.centroids, training_labels(fx), tx_labels(fx), fx.watchlist)
-    small = Effort(folds=2, repeats=1, iterations=4, depth=3, forest_trees=8, anomaly_trees=50)
+    small = Effort(folds=2, repeats=1, iterations=4, depth=3, forest_trees=8, anomaly_trees=50, pagerank_rounds=8)
     return score(fx.a, refs, small)["alerts"].select("alert_id", "address", "cluster_id", "typology", "risk_score", "severity", "confidence", "action")
