@@ -404,7 +404,7 @@ def al8(fx):
 
 
 @query("al9_operator_leads", with_ctes(["opp", "scores"], f"""
-    SELECT query, cluster, rank, n_tx, {r('score')} AS score, {r('behaviour')} AS behaviour, {', '.join(f"{r(c)} AS {c}" for c in ('ip', 'software', 'script', 'diurnal', 'fee'))}, top_wallet, risk FROM (
+    SELECT query, cluster, rank, n_tx, {r('round(score, 9)')} AS score, {r('round(behaviour, 9)')} AS behaviour, {', '.join(f"{r(f'round({c}, 9)')} AS {c}" for c in ('ip', 'software', 'script', 'diurnal', 'fee'))}, top_wallet, risk FROM (
       SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, cluster) AS rank FROM opp)
     LEFT JOIN (SELECT 'C-' || CAST(n // 8 AS VARCHAR) AS cluster, arg_max(address, (p, address)) AS top_wallet, round(100 * max(p), 1) AS risk FROM scores GROUP BY 1) USING (cluster) WHERE rank <= 5"""))
 def al9(fx):
