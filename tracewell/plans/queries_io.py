@@ -29,7 +29,8 @@ def raw_records(fx):
     """One row per relay with everything as text."""
     def build():
         t = transactions(fx).select("txid", "input_addresses", "input_amounts", "output_addresses", "output_amounts", "fee", "script_type", "tx_version", "locktime", "rbf", "op_return")
-        o = fx.obs.select("txid", "ts", "src_ip", "src_port").join(t, "txid")
+        parts = int(fx.spark.conf.get("spark.sql.shuffle.partitions"))  # several files, so that reading them is parallel
+        o = fx.obs.select("txid", "ts", "src_ip", "src_port").join(t, "txid").repartition(parts)
         x = F.col("txid")
         eight = lambda c: F.transform(c, lambda v: v.cast("decimal(24,8)").cast("string"))
         when = (F.when(x % 50 == 9, "yesterday").when(x % 3 == 0, F.unix_millis("ts").cast("string")).when(x % 3 == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
