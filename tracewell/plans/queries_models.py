@@ -71,9 +71,9 @@ def ml3(fx):
 
 
 def training_labels(fx):
-    """Truth that depends on the wallet, so that the model has a signal: busy receivers of every third owner."""
+    """Truth that depends on the wallet, so that the model has a signal: busy receivers."""
     l = fx.labels.join(Qa.wallet_table(fx).select("address", "n_recv"), "address")
-    return l.select("address", ((F.col("entity_id") % 3 == 0) & (F.col("n_recv") >= 6)).cast("int").alias("y"), F.col("entity_id").cast("string").alias("group"), "typology", F.lit(1.0).alias("weight"))
+    return l.select("address", (F.col("n_recv") >= 7).cast("int").alias("y"), F.col("entity_id").cast("string").alias("group"), "typology", F.lit(1.0).alias("weight"))
 
 
 def fusion(fx):
