@@ -42,11 +42,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only where the cluster names none."""
+    """The cluster's shared checkpoint folder. A fresh local one only in local mode: elsewhere executors would not share it."""
     app = spark.sparkContext.applicationId
     if app not in _SHARED:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="tracewell-")
         _SHARED[app] = f"{root.rstrip('/')}/tracewell-{app}"
     return _SHARED[app]
