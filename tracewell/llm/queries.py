@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import mixing, quality
+from tracewell.llm import bpe, mixing, packing, quality, token_files
 from tracewell.llm.common import table
 from tracewell.session import prepare
 
@@ -25,11 +25,21 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op7_token_files")
+def op7(spark, folder):
+    return token_files.read(token_files.write(table(spark, folder, "documents"), bpe.default_path(), end_id=2))
+
+
 @query("op8_mix_sources", mixing.SQL)
 def op8(spark, folder):
     return mixing.taken(mixing.mix(table(spark, folder, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op9_pack_sequences")
+def op9(spark, folder):
+    return packing.pack(table(spark, folder, "documents"))
+
+
 @query("op10_quality_rules", quality.SQL)
 def op10(spark, folder):
     return quality.rules(table(spark, folder, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
