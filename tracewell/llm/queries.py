@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, mixing, packing, quality, token_files, toxicity
+from tracewell.llm import bpe, mixing, ngram_lm, packing, quality, token_files, toxicity
 from tracewell.llm.common import table
 from tracewell.session import prepare
 
@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_language_model")
+def op1(spark, folder):
+    return ngram_lm.language_model(table(spark, folder, "documents"))
+
+
 @query("op2_toxicity")
 def op2(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
