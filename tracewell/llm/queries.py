@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, mixing, ngram_lm, packing, quality, token_files, toxicity
+from tracewell.llm import bpe, language, mixing, ngram_lm, packing, quality, token_files, toxicity
 from tracewell.llm.common import table
 from tracewell.session import prepare
 
@@ -35,6 +35,11 @@ def op2(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op4_language")
+def op4(spark, folder):
+    return language.language(table(spark, folder, "documents"))
+
+
 @query("op7_token_files")
 def op7(spark, folder):
     return token_files.read(token_files.write(table(spark, folder, "documents"), bpe.default_path(), end_id=2))
