@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, language, mixing, ngram_lm, packing, quality, token_files, toxicity
+from tracewell.llm import bpe, language, mixing, ngram_lm, packing, quality, token_files, top_k, toxicity
 from tracewell.llm.common import table
 from tracewell.session import prepare
 
@@ -40,6 +41,11 @@ def op4(spark, folder):
     return language.language(table(spark, folder, "documents"))
 
 
+@query("op6_top_k", top_k.SQL)
+def op6(spark, folder):
+    return top_k.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op7_token_files")
 def op7(spark, folder):
     return token_files.read(token_files.write(table(spark, folder, "documents"), bpe.default_path(), end_id=2))
