@@ -73,8 +73,7 @@ class Tree:
         return row, who[row, place], best[row, place]
 
 
-def matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+def matrix(lists: pa.ListArray, width: int) -> np.ndarray:
     sizes = np.diff(np.asarray(lists.offsets))
     out = np.zeros((len(lists), width), np.int64)
     out[np.arange(width)[None] < sizes[:, None]] = np.asarray(lists.flatten())
@@ -86,10 +85,11 @@ def searched(k: int):
         names = ["query_id", "vec_id", "score"]
         if not data.num_rows or not queries.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in names})
-        width = max(int(np.diff(np.asarray(t["v"].combine_chunks().offsets)).max()) for t in (data, queries))
-        rows, wanted = matrix(data["v"], width), matrix(queries["v"], width)
+        rows, wanted = data["v"].combine_chunks(), queries["qv"].combine_chunks()
+        width = max(int(np.diff(np.asarray(v.offsets)).max()) for v in (rows, wanted))
+        rows, wanted = matrix(rows, width), matrix(wanted, width)
         limit = float(np.abs(rows).max(initial=0)) * float(np.abs(wanted).max(initial=0)) * width
-        ids, query_ids = data["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+        ids, query_ids = data["vec_id"].to_numpy(), queries["qid"].to_numpy()
         bound = queries["bound"].to_numpy()
         exact = limit < 2.0 ** 52  # then sums of products are exact in doubles too, whose matrix products are fast
         tree = Tree(ids, rows.astype(np.float64) if exact else rows)
@@ -110,21 +110,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sh
                  .select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query")), "top-k-vectors")
     n, wanted = rows.agg(F.count("*"), F.count(F.when(F.col("is_query"), 1))).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-wanted // query_block))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
-    data = rows.select(shard.alias("shard"), "vec_id", "v")
-    queries = rows.where("is_query").groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("home", shard).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
-    out = "query_id long, vec_id long, score long"
+    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards))
+    data = rows.select(shard("vec_id").alias("shard"), "vec_id", "v")
+    queries = (rows.where("is_query").groupBy(F.col("vec_id").alias("qid")).agg(F.min("v").alias("qv"))
+               .withColumn("home", shard("qid")).withColumn("qblock", F.pmod(F.xxhash64("qid", F.lit(1)), F.lit(blocks))))
+    lowest = F.lit(int(LOWEST))
 
-    def meet(data, queries, *keys):
-        return data.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(searched(k), out)
+    def meet(data: DataFrame, queries: DataFrame, keys: list[str], query_keys: list[str]) -> DataFrame:
+        return data.groupBy(*keys).cogroup(queries.groupBy(*query_keys)).applyInArrow(searched(k), "query_id long, vec_id long, score long")
 
-    near = stage(meet(data, queries.select(F.col("home").alias("shard"), "vec_id", "v", F.lit(int(LOWEST)).alias("bound")), "shard"), "top-k-near")
+    near = stage(meet(data, queries.select("home", "qid", "qv", lowest.alias("bound")), ["shard"], ["home"]), "top-k-near")
     if shards > 1:
-        kth = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(int(LOWEST))).alias("bound"))
-        going = (queries.join(kth, F.col("query_id") == F.col("vec_id"), "left").select("block", "home", "vec_id", "v", F.coalesce("bound", F.lit(int(LOWEST))).alias("bound"))
-                 .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"))).where("shard <> home").drop("home"))
+        kth = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(lowest).alias("kth"))
+        going = (queries.join(kth, F.col("query_id") == F.col("qid"), "left")
+                 .select("qblock", "home", "qid", "qv", F.coalesce("kth", lowest).alias("bound"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("qshard"))
+                 .where("qshard <> home").drop("home"))
         every_block = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-        near = near.union(meet(every_block, going, "shard", "block"))
+        near = near.union(meet(every_block, going, ["shard", "block"], ["qshard", "qblock"]))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
