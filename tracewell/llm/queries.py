@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, language, mixing, ngram_lm, packing, quality, token_files, top_k, toxicity
+from tracewell.llm import bpe, language, mixing, ngram_lm, packing, pii, quality, token_files, top_k, toxicity
 from tracewell.llm.common import table
 from tracewell.session import prepare
 
@@ -36,6 +36,11 @@ def op2(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op3_personal_data")
+def op3(spark, folder):
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 @query("op4_language")
 def op4(spark, folder):
     return language.language(table(spark, folder, "documents"))
