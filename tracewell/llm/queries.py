@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, language, mixing, ngram_lm, packing, pii, quality, token_files, top_k, toxicity
+from tracewell.llm import bpe, language, mixing, ngram_lm, packing, pii, quality, set_join, token_files, top_k, toxicity
 from tracewell.llm.common import table
 from tracewell.session import prepare
 
@@ -46,6 +46,11 @@ def op4(spark, folder):
     return language.language(table(spark, folder, "documents"))
 
 
+@query("op5_set_join")
+def op5(spark, folder):
+    return set_join.join(set_join.numbered(table(spark, folder, "documents"))).select("doc_id", "class_id", "n_links")
+
+
 @query("op6_top_k", top_k.SQL)
 def op6(spark, folder):
     return top_k.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
