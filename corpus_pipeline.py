@@ -1,8 +1,46 @@
-"""The stages that turn raw documents into packed training sequences."""
+"""From raw documents to packed training sequences: each stage is written as Parquet and reread as the next one's documents."""
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewell.llm import mixing, packing, pii, set_join, toxicity
+from tracewell.llm.common import table
+from tracewell.session import prepare, stage
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the class-conditional models do not call toxic."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that with the smallest id."""
+    return set_join.one_of_each(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data replaced by its kind; n_chars follows."""
+    return pii.masked(docs, pii.fit(docs)).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources as documents, once for every round in which the mix takes words of them."""
+    return mixing.mixed(set_join.numbered(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mixed documents with their sequence and place."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", one_of_near_duplicates), ("pii", mask_personal_data), ("mix_sources", mix_sources), ("best_fit_packing", pack_sequences)]
+#: SQL cannot express the learned stages; tests hold the stages against brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    for name, apply in STAGES[:-1]:
+        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

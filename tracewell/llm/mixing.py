@@ -31,7 +31,7 @@ CHUNK = 4096
 
 @dataclass(frozen=True)
 class Mix:
-    """sizes: one row per document; sources: one per source; slices: the mix itself (slot, uid, first word, words)."""
+    """sizes: one row per document; sources: one per source; slices: the mix itself (slot, round through the source, uid, first word, words)."""
 
     sizes: DataFrame
     sources: DataFrame
@@ -97,19 +97,21 @@ def blocks(sizes: DataFrame, sources: DataFrame, block_words: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, block_words: int = 64) -> Mix:
-    """Mix ``docs`` (doc_id, text, source): ``share`` times all words, no document more than ``repeats`` times.
+    """Mix ``docs`` (doc_id, text, source, and uid if its rows have one): ``share`` times all words, no document more than
+    ``repeats`` times.
 
     The last block of a source is shorter than the rest, and the schedule gives a source its target to within a few blocks;
     slots past ``repeats`` rounds through a source stay empty.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = stage(docs.select("doc_id", "source", size.alias("size"), F.monotonically_increasing_id().alias("uid")), "mix-sizes")
+    uid = F.col("uid") if "uid" in docs.columns else F.monotonically_increasing_id()
+    sizes = stage(docs.select("doc_id", "source", size.alias("size"), uid.alias("uid")), "mix-sizes")
     sources = stage(targets(sizes, weights, share, repeats), "mix-sources")
     total = sources.agg(F.max("total")).first()[0] or 0.0
     n_blocks = F.ceil(F.col("source_size") / block_words).cast("long")
     due = slots(sources, -int(-total // block_words)).join(sources.select("sid", n_blocks.alias("n_blocks")), "sid").where(F.col("k") < repeats * F.col("n_blocks"))
-    due = due.select("slot", "sid", (F.col("k") % F.col("n_blocks")).alias("block"))
-    slices = due.join(blocks(sizes, sources, block_words), ["sid", "block"]).select("slot", "sid", "uid", "first", "words")
+    due = due.select("slot", "sid", F.expr("k div n_blocks").alias("round"), (F.col("k") % F.col("n_blocks")).alias("block"))
+    slices = due.join(blocks(sizes, sources, block_words), ["sid", "block"]).select("slot", "sid", "round", "uid", "first", "words")
     return Mix(sizes, sources, slices)
 
 
@@ -121,6 +123,20 @@ def taken(m: Mix) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "source", "uid"))
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The mix as documents: ``docs`` (with uid) once for every round in which words of it are taken, the text cut to those words
+    where a round ends inside it (then with single blanks between them). n_chars, if there is one, follows the text."""
+    part = mix(docs, **how).slices.groupBy("uid", "round").agg(F.min("first").alias("_first"), F.sum("words").alias("_words"))
+    rows = docs.join(part, "uid")
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    whole = (F.col("_first") == 0) & (F.col("_words") == F.regexp_count("text", F.lit(WORD)))
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, (F.col("_first") + 1).cast("int"), F.col("_words").cast("int")), " "))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
+    return rows.select(*[c for c in docs.columns if c != "uid"])
+
+
 SQL = f"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
