@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import mixing, packing, pii, set_join, toxicity
-from tracewell.llm.common import table
+from tracewell.llm.common import numbered, table
 from tracewell.session import prepare, stage
 
 
@@ -26,7 +26,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources as documents, once for every round in which the mix takes words of them."""
-    return mixing.mixed(set_join.numbered(docs))
+    return mixing.mixed(numbered(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

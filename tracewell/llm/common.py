@@ -17,16 +17,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: the place of a row in the stored table it is read from; a name that no table of documents has
+ROW = "_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ROW. Two reads of one stored table number its rows alike, whatever columns they take."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """The stable fold of a document: crc32 of its id as text, modulo ``modulus``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows that are fewer than the scan's splits suggest over all cores."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def sliced(batches: Iterator[pa.RecordBatch], column: str, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of a slice hold about ``chars`` bytes; one longer text is a slice of its own."""
     for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import WORD
+from tracewell.llm.common import ROW, WORD
 from tracewell.session import stage
 
 POINTS = 1 << 31
@@ -97,14 +97,14 @@ def blocks(sizes: DataFrame, sources: DataFrame, block_words: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, block_words: int = 64) -> Mix:
-    """Mix ``docs`` (doc_id, text, source, and uid if its rows have one): ``share`` times all words, no document more than
+    """Mix ``docs`` (doc_id, text, source, and ROW if its rows are numbered): ``share`` times all words, no document more than
     ``repeats`` times.
 
     The last block of a source is shorter than the rest, and the schedule gives a source its target to within a few blocks;
     slots past ``repeats`` rounds through a source stay empty.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    uid = F.col("uid") if "uid" in docs.columns else F.monotonically_increasing_id()
+    uid = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
     sizes = stage(docs.select("doc_id", "source", size.alias("size"), uid.alias("uid")), "mix-sizes")
     sources = stage(targets(sizes, weights, share, repeats), "mix-sources")
     total = sources.agg(F.max("total")).first()[0] or 0.0
@@ -124,17 +124,17 @@ def taken(m: Mix) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix as documents: ``docs`` (with uid) once for every round in which words of it are taken, the text cut to those words
+    """The mix as documents: ``docs`` (with ROW) once for every round in which words of it are taken, the text cut to those words
     where a round ends inside it (then with single blanks between them). n_chars, if there is one, follows the text."""
     part = mix(docs, **how).slices.groupBy("uid", "round").agg(F.min("first").alias("_first"), F.sum("words").alias("_words"))
-    rows = docs.join(part, "uid")
+    rows = docs.join(part.withColumnRenamed("uid", ROW), ROW)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     whole = (F.col("_first") == 0) & (F.col("_words") == F.regexp_count("text", F.lit(WORD)))
     text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, (F.col("_first") + 1).cast("int"), F.col("_words").cast("int")), " "))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
-    return rows.select(*[c for c in docs.columns if c != "uid"])
+    return rows.select(*[c for c in docs.columns if c != ROW])
 
 
 SQL = f"""

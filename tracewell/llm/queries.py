@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, language, mixing, ngram_lm, packing, pii, quality, set_join, token_files, top_k, toxicity
-from tracewell.llm.common import table
+from tracewell.llm.common import numbered, table
 from tracewell.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +48,7 @@ def op4(spark, folder):
 
 @query("op5_set_join")
 def op5(spark, folder):
-    return set_join.join(set_join.numbered(table(spark, folder, "documents"))).select("doc_id", "class_id", "n_links")
+    return set_join.join(numbered(table(spark, folder, "documents"))).select("doc_id", "class_id", "n_links")
 
 
 @query("op6_top_k", top_k.SQL)

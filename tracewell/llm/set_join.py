@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import automaton as A
-from tracewell.llm.common import sliced
+from tracewell.llm.common import ROW, numbered, sliced
 from tracewell.operators.graph import connected_components
 from tracewell.session import stage
 
@@ -329,11 +329,11 @@ def shingled(rows: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, recall: float = 0.995, small: int = 256) -> DataFrame:
-    """uid, doc_id, class_id and n_links of every row of ``docs`` (uid, doc_id, text), a stored table whose uid is its own.
+    """uid, doc_id, class_id and n_links of every row of ``docs`` (doc_id, text, and ROW, which becomes uid), a stored table.
 
     n_links: rows, other than itself, whose text is similar to this one's, copies included.
     """
-    rows = docs.select("uid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col(ROW).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_ = stage(sketched(rows, runs_for(recall)), "join-sketches")
     same = stage(all_.groupBy("same").agg(F.min("uid").alias("rid"), F.count("*").alias("copies"), F.min("doc_id").alias("first")), "join-copies")
     reps = all_.join(same.select(F.col("rid").alias("uid")), "uid", "left_semi").withColumnRenamed("uid", "rid").where("size > 0")
@@ -358,14 +358,9 @@ def join(docs: DataFrame, recall: float = 0.995, small: int = 256) -> DataFrame:
     return all_.select("uid", "doc_id", "same").join(by_set.join(name, "root").select("same", "root", "class_id", "n_links"), "same").select("uid", "doc_id", "root", "class_id", "n_links")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with uid, the place of a row in the stored table it is read from."""
-    return docs.withColumn("uid", F.monotonically_increasing_id())
-
-
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each class: that with the smallest doc_id, the first if it is repeated. All columns are kept."""
     rows = numbered(docs)
     found = join(rows, **how)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("x")).select("x.uid")
-    return rows.join(stage(first, "join-first"), "uid", "left_semi").drop("uid")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("x")).select(F.col("x.uid").alias(ROW))
+    return rows.join(stage(first, "join-first"), ROW, "left_semi").drop(ROW)
