@@ -90,3 +90,24 @@ def test_watch_stream_reports_once_and_survives_a_restart(spark, tmp_path):
     assert run() == [("t1", "UNCONFIRMED_MOVEMENT")]
     drop("2", [("t1", "2024-01-01 00:00:00", "w", 1.0, False), ("t3", "2024-01-01 00:02:00", "w", 1.0, True)])
     assert run() == [("t1", "UNCONFIRMED_MOVEMENT"), ("t3", "TRACE_AND_REVIEW")]
+
+
+def test_every_csv_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('txid,timestamp,src_ip,output_addresses,op_return\naaaaaaaa,2024-01-01,1.1.1.1,x;y,"two\nlines, one memo"\n')
+    (tmp_path / "b.csv").write_text("output_addresses,src_ip,timestamp,Tx_Hash\nz,2.2.2.2,2024-01-02,bbbbbbbb\n")
+    ok, bad = In.validate_split(In.ingest(In.read_csv(spark, str(tmp_path))))
+    rows = {r["txid"]: r for r in ok.collect()}
+    assert set(rows) == {"aaaaaaaa", "bbbbbbbb"} and bad.count() == 0
+    assert rows["aaaaaaaa"]["op_return"] == "two\nlines, one memo" and rows["bbbbbbbb"]["src_ip"] == "2.2.2.2"
+
+
+def test_xml_records_under_any_of_the_three_tags(spark, tmp_path):
+    for tag in ("tx", "transaction", "record"):
+        (tmp_path / f"{tag}.xml").write_text(f'<all><{tag} txid="{tag[0]}" timestamp="2024-01-01"><src_ip>1.1.1.1</src_ip></{tag}></all>')
+    assert sorted(r["raw"]["txid"] for r in In.read_xml(spark, str(tmp_path)).collect()) == ["r", "t", "t"]
+
+
+def test_bad_rows_and_memos_keep_their_whole_text(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("txid,timestamp,src_ip,output_addresses,op_return\n" + f"bad,2024-01-01,1.1.1.1,x,{'m' * 3000}\n" + f"aaaaaaaa,2024-01-01,1.1.1.1,x,{'m' * 3000}\n")
+    ok, bad = In.validate_split(In.ingest(In.read_csv(spark, str(tmp_path))))
+    assert len(ok.first()["op_return"]) == 3000 and len(bad.first()["raw"]) > 3000

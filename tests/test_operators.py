@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tracewell.config import Settings
@@ -10,9 +12,11 @@ from tracewell.functions import text as Tx
 from tracewell.functions.columns import swap_memo
 from tracewell.operators import alerts as A
 from tracewell.operators import clusters as C
+from tracewell.operators import enrich as E
 from tracewell.operators import evaluate as Ev
 from tracewell.operators import forecast as Fc
 from tracewell.operators import graph as G
+from tracewell.operators import investigator as I
 from tracewell.operators import mixer as M
 from tracewell.operators import models as Mo
 from tracewell.operators import temporal as Te
@@ -208,3 +212,40 @@ def test_alert_candidates_one_per_cluster_and_cap(spark):
     d = spark.createDataFrame([("a", 0.9, "c1"), ("b", 0.8, "c1"), ("c", 0.7, "c2"), ("d", 0.3, "c3"), ("e", 0.6, "c4")], "address string, p double, cluster_root string")
     got = [r["address"] for r in A.alert_candidates(d, Settings(max_alerts=2)).collect()]
     assert got == ["a", "c"]
+
+
+def test_no_limit_unless_asked(spark):
+    """Relays, alerts and wallets past the old pages are there; an explicit limit still makes a page."""
+    obs = spark.range(450).selectExpr("'t' as txid", "timestamp_seconds(id) as ts", "concat('10.0.0.', id % 250) as src_ip")
+    tx = spark.sql("select 't' as txid, timestamp_seconds(0) as ts, 0.1d as fee")
+    assert I.tx_360(obs, tx).count() == 450 and I.tx_360(obs, tx, relays=20).count() == 20
+    scores = spark.range(700).selectExpr("concat('w', id) as address", "0.5 + id / 2000 as p", "id as cluster_root")
+    assert A.alert_candidates(scores).count() == 700
+
+
+def test_unfinished_iterations_raise(spark):
+    chain = spark.range(200).selectExpr("cast(id as string) a", "cast(id + 1 as string) b")
+    with pytest.raises(RuntimeError):
+        G.connected_components(chain, "a", "b", max_rounds=1)
+    edges = chain.selectExpr("a as src", "b as dst", "1.0d as w")
+    with pytest.raises(RuntimeError):
+        G.pagerank(edges, None, max_rounds=2, tol=1e-12)
+    assert G.pagerank(edges, None, max_rounds=2, tol=0.0).count() == 201
+
+
+def test_known_transactions_take_no_room(spark):
+    """The second hop brings as many new transactions as there is room for."""
+    rows = [(f"t{i}", f"a{i}", f"a{i + 1}") for i in range(6)]
+    ts = "timestamp_seconds(cast(substring(txid, 2) as int)) as ts"
+    d = spark.createDataFrame(rows, "txid string, src string, dst string")
+    tin, tout = (d.selectExpr("txid", ts, "0 as idx", f"{c} as address", "1.0d as amount") for c in ("src", "dst"))
+    ledger = Ledger(tx=d.selectExpr("txid", ts, "0.0d as fee"), tin=tin, tout=tout, spy=None)
+    txs, _ = Tr.neighbourhood(ledger, spark.createDataFrame([("a1",)], "address string"), 3, 4)
+    assert txs.count() == 4
+
+
+def test_addresses_without_a_range_keep_their_rows(spark):
+    ranges = spark.createDataFrame([("1.2.3.0", "1.2.3.255", "AA", "AS1"), ("2000::", "3fff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "BB", "AS2"), ("2001:db8::", "2001:db8::ff", "CC", "AS3")], "start_ip string, end_ip string, country string, asn string")
+    ips = spark.createDataFrame([(None,), ("::ffff:1.2.3.4",), ("1.2.3.9",), ("2abc::1",), ("2001:db8::1",), ("12345::1",), ("x",), ("1.2.3.9",)], "src_ip string")
+    got = sorted((r["src_ip"] or "", r["country"]) for r in E.ip_range_join(ips, ranges).collect())
+    assert got == [("", "XX"), ("1.2.3.9", "AA"), ("1.2.3.9", "AA"), ("12345::1", "XX"), ("2001:db8::1", "CC"), ("2abc::1", "BB"), ("::ffff:1.2.3.4", "AA"), ("x", "XX")]

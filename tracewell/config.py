@@ -14,7 +14,7 @@ class Settings:
 
     # Alert list
     alert_min_probability: float = 0.40
-    max_alerts: int = 300
+    max_alerts: int | None = None  # no limit; a number keeps the highest
     near_miss_min: float = 0.20
 
     # Network evidence
@@ -73,7 +73,6 @@ class Settings:
     # Same-operator leads
     operator_min_tx: int = 3
     operator_max_tx: int = 400
-    operator_min_clusters: int = 20
     operator_top: int = 5
     behaviour_cap: float = 0.6
     network_cap: float = 0.9

@@ -13,12 +13,12 @@ from tracewell.operators.tracing import minutes_1
 
 
 def alert_candidates(scores: DataFrame, s=SETTINGS) -> DataFrame:
-    """The riskiest wallet of every cluster with p above the threshold; the highest ``max_alerts`` of them.
+    """The riskiest wallet of every cluster with p above the threshold; only the highest ``max_alerts`` if that is set.
 
     Needs address, p, cluster_root. A wallet alone in its cluster stands for itself, so one reduction serves both."""
     order = W.partitionBy("cluster_root").orderBy(F.desc("p"), "address")
     best = scores.where(F.col("p") >= s.alert_min_probability).withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
-    return best.orderBy(F.desc("p"), "address").limit(s.max_alerts)
+    return best if s.max_alerts is None else best.orderBy(F.desc("p"), "address").limit(s.max_alerts)
 
 
 def alert_id(address: Column) -> Column:

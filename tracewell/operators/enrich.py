@@ -48,7 +48,7 @@ def country_centres(spark) -> DataFrame:
 
 def ip_key(ip: Column) -> Column:
     """32 hex digits that order like the address: IPv4 as its mapped IPv6 form; null when the text is no IP address."""
-    t = F.trim(ip)
+    t = F.regexp_replace(F.trim(ip), r"^(?i:::ffff:)(?=\d+\.)", "")  # the mapped form is the IPv4 address
     octets = F.transform(F.split(t, r"\."), lambda x: x.try_cast("int"))
     v4_ok = t.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(octets, lambda o: o.between(0, 255))
     v4 = F.concat(F.lit("00000000000000000000ffff"), F.array_join(F.transform(octets, lambda o: F.lpad(F.lower(F.hex(o)), 2, "0")), ""))
@@ -56,13 +56,15 @@ def ip_key(ip: Column) -> Column:
     head, tail = groups(F.substring_index(t, "::", 1)), groups(F.when(F.instr(t, "::") > 0, F.substring_index(t, "::", -1)).otherwise(""))
     fill = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(head) - F.size(tail), F.lit(0)))
     parts = F.when(F.instr(t, "::") > 0, F.concat(head, fill, tail)).otherwise(head)
-    v6_ok = t.rlike("^[0-9A-Fa-f:]+$") & (F.instr(t, ":") > 0) & (F.size(parts) == 8)
+    v6_ok = t.rlike("^[0-9A-Fa-f:]+$") & (F.instr(t, ":") > 0) & (F.size(parts) == 8) & F.forall(parts, lambda g: F.length(g) <= 4)
     v6 = F.array_join(F.transform(parts, lambda g: F.lpad(F.lower(g), 4, "0")), "")
     return F.when(v4_ok, v4).when(v6_ok, v6)
 
 
 # an IPv4 /16 in the mapped form: 24 digits of prefix and 4 of address; an IPv6 /32 has the same number of free digits in front
 BUCKET_DIGITS_V4, BUCKET_DIGITS_V6 = 28, 8
+# an IPv6 range over this many buckets meets the addresses on its first digits instead, of which there are 65,536 at most
+WIDE_BUCKETS, WIDE_DIGITS = 4096, 4
 
 
 def _bucket(key: Column) -> Column:
@@ -74,25 +76,30 @@ def ip_range_join(ips: DataFrame, ranges: DataFrame, ip: str = "src_ip", default
     """Country and ASN of the narrowest range holding each address. ranges: start_ip, end_ip, country, asn.
 
     Each distinct address is looked up once. Ranges inside one bucket (/16 for IPv4, /32 for IPv6) meet the addresses on
-    that bucket; the few wider ranges are cut at the bucket borders, so every range finds its addresses by an equi-join.
-    Addresses that are none, or lie in no range, get the defaults.
+    that bucket; the few wider ranges are cut at the bucket borders, very wide IPv6 ranges at
+    coarser ones, so every range finds its addresses by an equi-join. Addresses that are null, none, or lie in no range, get the
+    defaults.
     """
-    one = ips.select(ip).distinct().withColumn("__k", ip_key(F.col(ip))).withColumn("__b", _bucket(F.col("__k")))
+    one = ips.select(ip).where(F.col(ip).isNotNull()).distinct().withColumn("__k", ip_key(F.col(ip)))
+    one = one.withColumn("__b", F.explode_outer(F.array(_bucket(F.col("__k")), F.concat(F.lit("w"), F.substring("__k", 1, WIDE_DIGITS)))))
     r = ranges.select(ip_key(F.col("start_ip")).alias("__s"), ip_key(F.col("end_ip")).alias("__e"), "country", "asn")
     number = lambda b: F.conv(b, 16, 10).cast("long")
     bs, be = _bucket(F.col("__s")), _bucket(F.col("__e"))
     v4 = F.length(bs) == BUCKET_DIGITS_V4
     low4, high4 = number(F.substring(bs, 25, 4)), number(F.substring(be, 25, 4))
     low6, high6 = number(bs), number(be)
-    lists = F.when(v4, F.transform(F.sequence(low4, high4), lambda n: F.concat(F.lit("00000000000000000000ffff"), F.lpad(F.lower(F.hex(n)), 4, "0")))).otherwise(
+    wide = lambda k: F.conv(F.substring(k, 1, WIDE_DIGITS), 16, 10).cast("long")
+    coarse = F.transform(F.sequence(wide(F.col("__s")), wide(F.col("__e"))), lambda n: F.concat(F.lit("w"), F.lpad(F.lower(F.hex(n)), WIDE_DIGITS, "0")))
+    lists = F.when(~v4 & (high6 - low6 >= WIDE_BUCKETS), coarse).when(v4, F.transform(F.sequence(low4, high4), lambda n: F.concat(F.lit("00000000000000000000ffff"), F.lpad(F.lower(F.hex(n)), 4, "0")))).otherwise(
         F.transform(F.sequence(low6, high6), lambda n: F.lpad(F.lower(F.hex(n)), 8, "0")))
     cut = r.withColumn("__b", F.explode(lists))
     # the width as text orders like the number: a narrower range shares a longer prefix of its two ends
     hit = one.join(cut, "__b").where((F.col("__k") >= F.col("__s")) & (F.col("__k") <= F.col("__e")))
     best = hit.groupBy(ip).agg(F.max(F.struct(F.col("__s").alias("s"), _descending(F.col("__e")).alias("e"), "country", "asn")).alias("r"))
     found = best.select(ip, F.col("r.country").alias("country"), F.col("r.asn").alias("asn"))
-    looked_up = one.select(ip).join(found, ip, "left").select(ip, F.coalesce("country", F.lit(default_country)).alias("country"), F.coalesce("asn", F.lit(default_asn)).alias("asn"))
-    return ips.join(looked_up, ip)
+    looked_up = one.select(ip).distinct().join(found, ip, "left").select(ip, F.coalesce("country", F.lit(default_country)).alias("country"), F.coalesce("asn", F.lit(default_asn)).alias("asn"))
+    return (ips.join(looked_up, ip, "left")  # an unknown address is no reason to lose the row
+            .withColumns({"country": F.coalesce("country", F.lit(default_country)), "asn": F.coalesce("asn", F.lit(default_asn))}))
 
 
 def _descending(hex_text: Column) -> Column:

@@ -10,12 +10,12 @@ from tracewell.operators.ledger import Ledger
 from tracewell.session import drop_stage, stage
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataFrame:
     """(node, root) for every node of the edge list; the root is the smallest node of the component.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): every step points neighbours at a smaller node
     with one aggregation and one join, so no node's neighbour list is ever held in one place, and the number of rounds
-    grows with the logarithm of the component size.
+    grows with the logarithm of the component size. Raises if ``max_rounds`` do not suffice.
     """
     e = stage(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
               .where("hi is not null and lo is not null").distinct(), "cc-edges")
@@ -40,6 +40,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     return nodes.join(e.select(F.col("hi").alias("node"), F.col("lo").alias("root")), "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"))
 
@@ -83,7 +85,8 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None, max_rounds: int = SETTIN
              alpha: float = SETTINGS.pagerank_alpha, weight: str | None = "w", nodes: DataFrame | None = None) -> DataFrame:
     """(node, rank): weighted PageRank with restart on ``seeds`` (everywhere when None); dangling mass goes to the restart set.
 
-    Starts uniform and stops when the L1 change is below N x tol. Only two numbers per round reach the driver.
+    Starts uniform and stops when the L1 change is below N x tol; raises if that takes more than ``max_rounds``. With a
+    tolerance of 0 it makes exactly ``max_rounds`` rounds. Only two numbers per round reach the driver.
     """
     w = F.col(weight) if weight else F.lit(1.0)
     out = edges.groupBy("src").agg(F.sum(w).alias("t"))
@@ -116,6 +119,9 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None, max_rounds: int = SETTIN
         cur = old = nxt
         if delta < n * tol:
             break
+    else:
+        if tol > 0:
+            raise RuntimeError(f"ranks have not converged after {max_rounds} rounds")
     return cur.select("node", "rank")
 
 

@@ -67,7 +67,7 @@ def near_misses(scores: DataFrame, alerts: DataFrame, feedback: DataFrame, limit
 
 
 def search(text: str, scores: DataFrame, transactions: DataFrame, observations: DataFrame, alerts: DataFrame, cases: DataFrame, limit: int = 6) -> DataFrame:
-    """One box for wallets, clusters, transactions, IPs, alerts and cases: (kind, id, detail, weight)."""
+    """What a piece of text may mean, of every kind of object: (kind, id, detail, weight), up to ``limit`` rows a kind."""
     pre, sub = f"{text}%", f"%{text}%"
     row = lambda df, kind, i, detail, weight: df.select(F.lit(kind).alias("kind"), i.cast("string").alias("id"), detail.cast("string").alias("detail"), weight.cast("double").alias("weight"))
     top = lambda df, *order: df.orderBy(*order).limit(limit)
@@ -148,24 +148,27 @@ def software_text(version: Column, locktime: Column, rbf: Column) -> Column:
     return F.concat(F.lit("version "), version.cast("string"), F.lit(" · "), lock, F.lit(" · "), F.when(rbf, "RBF on").otherwise("RBF off"))
 
 
-def ip_360(observations: DataFrame, ledger: Ledger, alerts: DataFrame, tx_limit: int = 200) -> DataFrame:
-    """Every IP: observation statistics, wallets of its first (at most ``tx_limit``) first-relayed transactions, and alerts among them."""
+def ip_360(observations: DataFrame, ledger: Ledger, alerts: DataFrame, tx_limit: int | None = None) -> DataFrame:
+    """Every IP: observation statistics, wallets of the transactions it relayed first (of the ``tx_limit`` earliest, if given), and alerts among them."""
     stats = observations.groupBy("src_ip").agg(
         F.min("country").alias("country"), F.min("asn").alias("asn"), F.min("asn_type").alias("asn_type"), F.count(F.lit(1)).alias("observations"),
         F.count_distinct("txid").alias("tx_count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     order = W.partitionBy("src_ip").orderBy("ts", "txid")
-    first = (ledger.spy.select("txid", F.col("spy_ip").alias("src_ip")).join(ledger.tx.select("txid", "ts"), "txid")
-             .withColumn("k", F.row_number().over(order)).where(F.col("k") <= tx_limit))
+    first = ledger.spy.select("txid", F.col("spy_ip").alias("src_ip")).join(ledger.tx.select("txid", "ts"), "txid")
+    if tx_limit is not None:
+        first = first.withColumn("k", F.row_number().over(order)).where(F.col("k") <= tx_limit)
     wallets = first.select("src_ip", "txid").join(ledger.tin.select("txid", "address"), "txid").select("src_ip", "address").distinct()
     linked = (wallets.join(alerts.select(F.col("entity_id").alias("address"), "risk_score"), "address", "left").groupBy("src_ip")
               .agg(F.count(F.lit(1)).alias("linked_wallets"), F.count("risk_score").alias("flagged_wallets"), F.max("risk_score").alias("max_risk")))
     return stats.join(linked, "src_ip", "left").fillna(0, subset=["linked_wallets", "flagged_wallets"])
 
 
-def tx_360(observations: DataFrame, tx: DataFrame, relays: int = 200) -> DataFrame:
-    """Every transaction with its relays in order of arrival (txid, step, ts, src_ip, ...)."""
+def tx_360(observations: DataFrame, tx: DataFrame, relays: int | None = None) -> DataFrame:
+    """Every transaction with its relays (the earliest ``relays``, if given) in order of arrival: txid, step, ts, src_ip, ..."""
     order = W.partitionBy("txid").orderBy("ts", "src_ip")
-    o = observations.withColumn("step", F.row_number().over(order).cast("long")).where(F.col("step") <= relays)
+    o = observations.withColumn("step", F.row_number().over(order).cast("long"))
+    if relays is not None:
+        o = o.where(F.col("step") <= relays)
     return tx.select("txid", F.col("ts").alias("tx_ts"), "fee").join(o, "txid")
 
 

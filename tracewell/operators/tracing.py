@@ -39,7 +39,6 @@ def trace_exits(ledger: Ledger, starts: DataFrame, known: DataFrame, s=SETTINGS)
     receipts = asof(spend.withColumn("ts", F.timestamp_micros("t")),
                     ledger.tout.join(begin, "address", "left_semi").select("address", "ts", F.lit(1).alias("one")),
                     "address", "ts", "ts", ["one"], "backward", strict=False)
-    few = first_spends(ledger.tin, s.trace_spends_per_output)
     labelled = known.select(F.col("address").alias("to"), "entity_name", "entity_type", "in_jurisdiction", F.col("country").alias("entity_country"))
     outs = ledger.tout.select(F.col("txid").alias("otx"), "idx", F.col("address").alias("to"), "amount").join(labelled, "to", "left")
     level = stage(receipts.select(
@@ -65,8 +64,10 @@ def trace_exits(ledger: Ledger, starts: DataFrame, known: DataFrame, s=SETTINGS)
         levels.append(visit)
         if hop == s.trace_max_hops:
             break
-        onward = (visit.join(outs.where("entity_type is null"), visit.txid == outs.otx).select("start", "rank", "t", "recv_us", "path", "idx", F.col("to").alias("address"))
-                  .join(few.select("address", F.col("rank").alias("spend_rank"), F.col("txid").alias("next"), F.col("t").alias("t2")), "address")
+        going = stage(visit.join(outs.where("entity_type is null"), visit.txid == outs.otx).select("start", "rank", "t", "recv_us", "path", "idx", F.col("to").alias("address")), f"trace-o{hop}")
+        # only spends of addresses the search has reached are ranked
+        few = first_spends(ledger.tin.join(going.select("address").distinct(), "address", "left_semi"), s.trace_spends_per_output)
+        onward = (going.join(few.select("address", F.col("rank").alias("spend_rank"), F.col("txid").alias("next"), F.col("t").alias("t2")), "address")
                   .where("t2 >= t"))
         level = stage(onward.select(
             "start", F.col("next").alias("txid"), F.col("t2").alias("t"), "recv_us", F.concat("path", F.array(F.col("next").cast("string"))).alias("path"),
@@ -179,8 +180,9 @@ def neighbourhood(ledger: Ledger, centres: DataFrame, hops: int, limit: int) ->
         room = limit - txs.count()  # at most ``limit`` rows
         if room <= 0:
             break
-        more = transactions_touching(ledger, frontier).orderBy("ts", "txid").limit(room)
-        txs = stage(txs.unionByName(more.join(txs.select("txid"), "txid", "left_anti").withColumn("step", F.lit(i))), f"near-{i}")
+        # what is known already takes no room
+        more = transactions_touching(ledger, frontier).join(txs.select("txid"), "txid", "left_anti").orderBy("ts", "txid").limit(room)
+        txs = stage(txs.unionByName(more.withColumn("step", F.lit(i))), f"near-{i}")
         frontier = stage(members(txs).join(seen, "address", "left_anti"), f"near-w{i}")
         seen = seen.unionByName(frontier)
     return txs, seen

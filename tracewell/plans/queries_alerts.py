@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewell.config import Settings
 from tracewell.functions.columns import is_risky
 from tracewell.operators import alerts as A
 from tracewell.operators import forecast as Fc
@@ -20,10 +21,13 @@ from tracewell.plans.queries_ledger import r6
 from tracewell.plans.registry import query
 
 # -- alert candidates ------------------------------------------------------------------------------
-cte("alerts", ("scores",), """
+cte("alerts_all", ("scores",), """
   SELECT address, n, p, anomaly, typology, cluster_id, 'A-W-' || substr(sha1(address), 1, 10) AS alert_id, round(100 * p, 1) AS risk_score FROM (
     SELECT *, 'C-' || CAST(n // 8 AS VARCHAR) AS cluster_id, row_number() OVER (PARTITION BY n // 8 ORDER BY p DESC, address) AS k FROM scores WHERE p >= 0.4)
-  WHERE k = 1 ORDER BY p DESC, address LIMIT 300""")
+  WHERE k = 1""")
+# the list that the case queries below work on: an explicit page of the whole list
+cte("alerts", ("alerts_all",), "SELECT * FROM alerts_all ORDER BY p DESC, address LIMIT 300")
+LISTED = Settings(max_alerts=300)
 
 
 def scores(fx):
@@ -33,12 +37,12 @@ def scores(fx):
 
 def alerts(fx):
     def build():
-        c = A.alert_candidates(scores(fx))
+        c = A.alert_candidates(scores(fx), LISTED)
         return c.select("address", "n", "p", "anomaly", "typology", "cluster_id", "cluster_root", A.alert_id(F.col("address")).alias("alert_id"), F.round(100 * F.col("p"), 1).alias("risk_score"))
     return fx._stage("al-alerts", build)
 
 
-@query("al1_alert_candidates", with_ctes(["alerts"], "SELECT address, p, cluster_id, alert_id, risk_score FROM alerts"))
+@query("al1_alert_candidates", with_ctes(["alerts_all"], "SELECT address, p, cluster_id, alert_id, risk_score FROM alerts_all"))
 def al1(fx):
     c = A.alert_candidates(scores(fx))
     return c.select("address", "p", "cluster_id", A.alert_id(F.col("address")).alias("alert_id"), F.round(100 * F.col("p"), 1).alias("risk_score"))
@@ -219,7 +223,7 @@ NEAR_SQL = """
   centre AS MATERIALIZED (SELECT address FROM alerts ORDER BY risk_score DESC, address LIMIT 12),
   s1 AS MATERIALIZED (SELECT txid, min(ts) AS ts FROM touch WHERE address IN (SELECT address FROM centre) GROUP BY 1 ORDER BY 2, 1 LIMIT 120),
   w1 AS MATERIALIZED (SELECT DISTINCT address FROM touch WHERE txid IN (SELECT txid FROM s1)),
-  s2 AS MATERIALIZED (SELECT txid, min(ts) AS ts FROM touch WHERE address IN (SELECT address FROM w1) GROUP BY 1 ORDER BY 2, 1 LIMIT (SELECT 120 - count(*) FROM s1)),
+  s2 AS MATERIALIZED (SELECT txid, min(ts) AS ts FROM touch WHERE address IN (SELECT address FROM w1) AND txid NOT IN (SELECT txid FROM s1) GROUP BY 1 ORDER BY 2, 1 LIMIT (SELECT 120 - count(*) FROM s1)),
   near AS MATERIALIZED (SELECT txid FROM s1 UNION SELECT txid FROM s2)"""
 
 

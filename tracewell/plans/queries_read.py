@@ -168,7 +168,7 @@ def q6(fx):
     SELECT o.src_ip, country, asn_type, observations, tx_count, first_us, last_us, coalesce(linked_wallets, 0) AS linked_wallets, coalesce(flagged_wallets, 0) AS flagged_wallets FROM (
       SELECT src_ip, min(country) AS country, min(asn_type) AS asn_type, count(*) AS observations, count(DISTINCT txid) AS tx_count, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM obs GROUP BY 1) o
     LEFT JOIN (SELECT spy_ip AS src_ip, count(*) AS linked_wallets, count(risk_score) AS flagged_wallets FROM (SELECT DISTINCT spy_ip, address FROM (
-        SELECT spy_ip, txid, row_number() OVER (PARTITION BY spy_ip ORDER BY ts, txid) AS k FROM spy JOIN tx USING (txid)) JOIN tin USING (txid) WHERE k <= 200) LEFT JOIN atab ON entity_id = address GROUP BY 1) USING (src_ip)"""))
+        SELECT spy_ip, txid FROM spy JOIN tx USING (txid)) JOIN tin USING (txid)) LEFT JOIN atab ON entity_id = address GROUP BY 1) USING (src_ip)"""))
 def q7(fx):
     i = I.ip_360(fx.obs, fx.a, alert_table(fx))
     return i.select("src_ip", "country", "asn_type", "observations", "tx_count", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "linked_wallets", "flagged_wallets")
