@@ -4,9 +4,9 @@
    copies and go on as one representative.
 2. Chosen paths: in each of several runs, a set starts in one common bucket and goes on to a bucket for each of its tokens that the
    bucket's hash chooses, 1 / (similarity * size) of them. Two similar sets share about one chosen token or more. Buckets of
-   up to ``small`` sets are compared at once, larger ones are split again, down to LEVELS. What is still large then (many sets that share
-   nearly everything) is compared in tiles: pairs of parts of the bucket, each pair of parts a group of its own. The number of
-   runs follows from the recall wanted (:func:`runs_for`).
+   up to ``small`` sets are compared at once, larger ones are split again, down to LEVELS. What no split takes apart (most sets of the
+   bucket alike, by a byte of their sketches) or is still large at the last level is compared in tiles: pairs of parts of the
+   bucket, each pair of parts a group of its own. The number of runs follows from the recall wanted (:func:`runs_for`).
 3. Comparing within a bucket uses sketches (64 min-hashes of 8 bits) against a lower bar, and hands on only a spanning forest of
    what may be similar. Its components, found by rounds of joins, are candidates for step 4, so a pair that every run missed is
    still compared if anything connects it.
@@ -292,25 +292,31 @@ def in_groups(rows: DataFrame, task, schema: str) -> DataFrame:
 
 def candidates(reps: DataFrame, small: int) -> DataFrame:
     """(a, b): pairs of representatives whose components step 4 compares."""
+    reps = reps.withColumn("byte", F.substring("sketch", 1, 1))  # equal for two sets as often as they are similar
     compared, heavy = [], None
     for level in range(1, LEVELS + 1):
         if level == 1:
-            rows = reps.select("rid", F.explode("to1").alias("key"))
+            rows = reps.select("rid", "byte", F.explode("to1").alias("key"))
         else:
-            rows = (reps.select("rid", F.explode(F.arrays_zip(f"from{level}", f"to{level}")).alias("x")).select("rid", F.col(f"x.from{level}").alias("parent"), F.col(f"x.to{level}").alias("key"))
-                    .join(heavy.select(F.col("key").alias("parent")), "parent").select("rid", "key"))
+            rows = (reps.select("rid", "byte", F.explode(F.arrays_zip(f"from{level}", f"to{level}")).alias("x")).select("rid", "byte", F.col(f"x.from{level}").alias("parent"), F.col(f"x.to{level}").alias("key"))
+                    .join(heavy.select(F.col("key").alias("parent")), "parent").select("rid", "byte", "key"))
         n = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         rows = stage(rows.join(n, "key"), f"join-level{level}")
         compared.append(rows.where(F.col("n") <= small) if level < LEVELS else rows)
         if level < LEVELS:
-            heavy = stage(rows.where(F.col("n") > small).select("key").distinct(), f"join-heavy{level}")
+            # sets that are mostly alike share what they are split by, so splitting would only multiply them: compare them here
+            large = rows.where(F.col("n") > small)
+            share = large.groupBy("key", "byte").agg(F.count("*").alias("c")).groupBy("key").agg((2 * F.max("c") >= F.sum("c")).alias("alike"))
+            share = stage(share, f"join-large{level}")
+            compared.append(large.join(share.where("alike").select("key"), "key"))
+            heavy = share.where("not alike").select("key")
             if heavy.isEmpty():
                 break
-    rows = compared[0]
+    rows = compared[0].select("key", "rid", "n")
     for more in compared[1:]:
-        rows = rows.union(more)
+        rows = rows.union(more.select("key", "rid", "n"))
     rows = tiled(rows, F.when(F.col("n") > small, F.ceil(F.col("n") / TILE_SETS)).otherwise(F.lit(1)))
-    rows = rows.join(reps.select("rid", "size", "sketch"), "rid").select("key", "i", "j", "part", "rid", "size", "sketch")
+    rows = rows.join(reps.select("rid", "size", "sketch").hint("merge"), "rid").select("key", "i", "j", "part", "rid", "size", "sketch")
     return in_groups(rows, maybe_similar, "a long, b long")
 
 
@@ -336,8 +342,8 @@ def join(docs: DataFrame, recall: float = 0.995, small: int = 256) -> DataFrame:
     rows = docs.select(F.col(ROW).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_ = stage(sketched(rows, runs_for(recall)), "join-sketches")
     same = stage(all_.groupBy("same").agg(F.min("uid").alias("rid"), F.count("*").alias("copies"), F.min("doc_id").alias("first")), "join-copies")
-    reps = all_.join(same.select(F.col("rid").alias("uid")), "uid", "left_semi").withColumnRenamed("uid", "rid").where("size > 0")
-    reps = stage(reps, "join-reps")
+    reps = all_.join(same.select(F.col("rid").alias("uid")).hint("merge"), "uid", "left_semi").withColumnRenamed("uid", "rid").where("size > 0")
+    reps = stage(reps, "join-reps")  # joins below are merges at every size: what they move grows with the input
     found = connected_components(candidates(reps, small), "a", "b")
     member = (found.withColumnRenamed("node", "rid").join(reps.select("rid", "doc_id", "same", "size"), "rid")
               .join(same.select("rid", "copies"), "rid").withColumnRenamed("root", "key"))
@@ -345,7 +351,7 @@ def join(docs: DataFrame, recall: float = 0.995, small: int = 256) -> DataFrame:
     parts = member.groupBy("key").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens_in"))
     parts = parts.select("key", F.ceil(F.greatest(F.col("sets") / TILE_SETS, F.col("tokens_in") / TILE_TOKENS)).alias("want"))
     wanted = member.select("rid", F.col("doc_id").alias("own_id"), "same")
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("own_id"))).select("rid", "same", "text")
+    texts = rows.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id"))).select("rid", "same", "text")
     sets = shingled(texts).dropDuplicates(["rid"])
     todo = tiled(member.select("key", "rid", "copies").join(parts, "key"), F.col("want")).join(sets, "rid").select("key", "i", "j", "part", "rid", "copies", "tokens")
     links = stage(in_groups(todo, similar, "a long, b long, n long"), "join-links")
