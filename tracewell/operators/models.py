@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.config import SETTINGS, TX_CLASSES
-from tracewell.operators.temporal import exact_quantiles, percent_rank_average
+from tracewell.operators.temporal import percent_rank_average, running_totals
 from tracewell.session import stage
 
 
@@ -219,11 +219,16 @@ def fuse_predict(x: DataFrame, features: list[str], members: list) -> DataFrame:
         return x.select("address", F.lit(0.0).alias("p"))
     have = x.withColumns({c: F.lit(0.0) for c in features if c not in x.columns})
     vec = stage(assembled(have.select("address", *features), features).select("address", "features"), "fuse-rows")
-    out = None
-    for m in members:
-        p = member_probability(m, vec, ["address"])
-        out = p if out is None else out.unionByName(p)
-    return out.groupBy("address").agg(F.avg("p").alias("p"))
+    return mean_probability(vec, members, ["address"])
+
+
+def mean_probability(vec: DataFrame, members: list, keep: list[str]) -> DataFrame:
+    """Rows with the mean of the members' probabilities: one column per member in the same row, so nothing is shuffled."""
+    cur, own = vec, []
+    for i, m in enumerate(members):
+        cur = member_probability(m, cur, [*keep, *own, "features"]).withColumnRenamed("p", f"__p{i}")
+        own.append(f"__p{i}")
+    return cur.select(*keep, (sum((F.col(c) for c in own[1:]), F.col(own[0])) / len(own)).alias("p"))
 
 
 # -- typology ----------------------------------------------------------------------------------------------------
@@ -245,12 +250,15 @@ def typology_probabilities(model: PipelineModel, x: DataFrame, features: list[st
 
 
 def pool_typology(proba: DataFrame, clusters: DataFrame, risk: DataFrame) -> DataFrame:
-    """(address, typology): class probabilities summed over the owner's cluster, weighted by risk; lone wallets keep their own."""
+    """(address, typology): class probabilities summed over the owner's cluster, weighted by risk; lone wallets keep their own.
+
+    Clusters are told apart by cluster_root where the table has it; the short display id alone would merge strangers."""
+    key = "cluster_root" if "cluster_root" in clusters.columns else "cluster_id"
     classes = sorted(c[2:] for c in proba.columns if c.startswith("t_"))
-    j = (proba.join(clusters.select("address", "cluster_id"), "address", "left").join(risk.select("address", "p"), "address", "left")
+    j = (proba.join(clusters.select("address", "cluster_id", F.col(key).alias("__key")), "address", "left").join(risk.select("address", "p"), "address", "left")
          .withColumn("w", F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(1e-3))))
     solo = F.col("cluster_id").isNull() | F.col("cluster_id").startswith("SOLO")
-    j = j.withColumn("pool", F.when(solo, F.concat(F.lit("w:"), F.col("address"))).otherwise(F.col("cluster_id")))
+    j = j.withColumn("pool", F.when(solo, F.concat(F.lit("w:"), F.col("address"))).otherwise(F.concat(F.lit("c:"), F.col("__key"))))
     g = j.groupBy("pool").agg(*[F.sum(F.col(f"t_{c}") * F.col("w")).alias(f"s_{c}") for c in classes])
     g = g.select("pool", argmax([(c, F.col(f"s_{c}")) for c in classes]).alias("typology"))
     return j.select("address", "pool").join(g, "pool").select("address", "typology")
@@ -258,8 +266,19 @@ def pool_typology(proba: DataFrame, clusters: DataFrame, risk: DataFrame) -> Dat
 
 # -- explanations --------------------------------------------------------------------------------------------------
 def medians(x: DataFrame, features: list[str]) -> dict[str, float]:
-    """Exact median of every feature over all wallets, each from range partitions rather than in one task."""
-    return {c: (exact_quantiles(clean(x.select(c), [c]), c, [0.5]).first()[0] or 0.0) for c in features}
+    """Exact median of every feature over all wallets, from one pass over (feature, value) pairs in range partitions."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v")) for i, c in enumerate(features)])).alias("key")
+    counts = clean(x.select(*features), features).select(pairs).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    spans = running_totals(counts, "key", ["n"])
+    # every feature has a value for every wallet, so those of feature i follow i times that many
+    each = F.col("total_n") / F.lit(len(features))
+    last = F.col("run_n") - F.col("key.f") * each
+    first = last - F.col("n")
+    low, high = F.floor((each - 1) / 2), F.ceil((each - 1) / 2)
+    at = lambda place: F.max(F.when((first <= place) & (place < last), F.col("key.v")))
+    found = spans.groupBy(F.col("key.f").alias("f")).agg(((at(low) + at(high)) / 2).alias("m")).collect()  # one row per feature
+    middle = {r["f"]: r["m"] for r in found}
+    return {c: float(middle.get(i) or 0.0) for i, c in enumerate(features)}
 
 
 def _log_odds(p: Column) -> Column:
@@ -269,11 +288,7 @@ def _log_odds(p: Column) -> Column:
 
 def _scored_variants(rows: DataFrame, features: list[str], members: list, keep: list[str]) -> DataFrame:
     vec = stage(assembled(rows, features).select(*keep, "features"), "variants")
-    out = None
-    for m in members:
-        p = member_probability(m, vec, keep)
-        out = p if out is None else out.unionByName(p)
-    return out.groupBy(*keep).agg(F.avg("p").alias("p"))
+    return mean_probability(vec, members, keep)
 
 
 def contributions(candidates: DataFrame, features: list[str], members: list, typical: dict[str, float], top: int = 6) -> DataFrame:

@@ -71,9 +71,10 @@ def ml3(fx):
 
 
 def training_labels(fx):
-    """Truth that depends on the wallet, so that the model has a signal: busy receivers."""
-    l = fx.labels.join(Qa.wallet_table(fx).select("address", "n_recv"), "address")
-    return l.select("address", (F.col("n_recv") >= 7).cast("int").alias("y"), F.col("entity_id").cast("string").alias("group"), "typology", F.lit(1.0).alias("weight"))
+    """Truth that depends on the wallet, so that the model has a signal, and one that explanations have a factor for: busy
+    receivers near a seed."""
+    l = fx.labels.join(Qa.wallet_table(fx).select("address", "n_recv", "hops_from_seed"), "address")
+    return l.select("address", ((F.col("n_recv") >= 4) & (F.col("hops_from_seed") <= 2)).cast("int").alias("y"), F.col("entity_id").cast("string").alias("group"), "typology", F.lit(1.0).alias("weight"))
 
 
 def fusion(fx):
@@ -132,8 +133,8 @@ def candidates(fx):
 
 def typical(fx):
     if not hasattr(fx, "_typical"):
-        fx._typical = Mo.medians(wallet_matrix(fx), WALLET_COLUMNS[:8])
-    return fx._typical | {c: 0.0 for c in WALLET_COLUMNS[8:]}
+        fx._typical = Mo.medians(wallet_matrix(fx), WALLET_COLUMNS)
+    return fx._typical
 
 
 def explained(fx):
@@ -161,6 +162,73 @@ def ml9m(fx):
     return a.join(b, "one").drop("one")
 
 
+# -- what SQL can know of learned results: whose rows there are, and that every value is what it claims to be ----------
+def in_unit(*columns):
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & F.col(c).between(0.0, 1.0)
+    return ok
+
+
+@query("ml1_anomaly_score_checked", with_ctes(["addr"], "SELECT address, 1 AS ok, count(*) OVER () AS wallets FROM addr"))
+def ml1_checked(fx):
+    """A rank in (0, 1] for every wallet; the mean of the ranks of n wallets is (n + 1) / 2n, whatever the ties."""
+    a = ml1(fx)
+    n, mean = a.agg(F.count(F.lit(1)), F.avg("anomaly")).first()
+    fair = abs(mean - (n + 1) / (2 * n)) < 1e-6
+    return a.select("address", (in_unit("anomaly") & (F.col("anomaly") > 0) & F.lit(fair)).cast("int").alias("ok"), F.lit(n).alias("wallets"))
+
+
+@query("ml2_tx_class_checked", with_ctes(["tx"], "SELECT txid, 1 AS ok FROM tx"))
+def ml2_checked(fx):
+    """One row per transaction; its class probabilities add up to 1 and the predicted class is a most likely one."""
+    c = class_run(fx)[0]
+    ps = [x for x in c.columns if x.startswith("p_")]
+    total, best = sum((F.col(x) for x in ps[1:]), F.col(ps[0])), F.greatest(*ps)
+    named = F.element_at(F.create_map(*[y for x in ps for y in (F.lit(x[2:]), F.col(x))]), F.col("tx_class_pred"))
+    return c.select("txid", (in_unit(*ps) & (F.abs(total - 1) < 1e-6) & (F.abs(named - best) < 1e-9)).cast("int").alias("ok"))
+
+
+@query("ml4_fuse_train_checked", with_ctes(["truth"], "SELECT address, 1 AS ok FROM truth"))
+def ml4_checked(fx):
+    """One out-of-fold probability per labelled wallet, and over all of them a ROC AUC above 0.9 for a truth that can be learned."""
+    oof = fusion(fx)[0]
+    auc = Ev.ranking_metrics(oof).first()["roc_auc"]
+    return oof.select("address", (in_unit("p") & F.lit(auc > 0.9)).cast("int").alias("ok"))
+
+
+@query("ml5_fuse_predict_checked", with_ctes(["addr"], "SELECT address, 1 AS ok FROM addr"))
+def ml5_checked(fx):
+    """One probability per wallet, the mean over the members of what each gives alone."""
+    rows, members = wallet_matrix(fx), fusion(fx)[1]
+    alone = None
+    for i, m in enumerate(members):
+        p = Mo.fuse_predict(rows, WALLET_COLUMNS, [m]).withColumnRenamed("p", f"p{i}")
+        alone = p if alone is None else alone.join(p, "address")
+    mean = sum((F.col(f"p{i}") for i in range(1, len(members))), F.col("p0")) / len(members)
+    return ml5(fx).join(alone, "address").select("address", (in_unit("p") & (F.abs(F.col("p") - mean) < 1e-9)).cast("int").alias("ok"))
+
+
+@query("ml8_contributions_checked", with_ctes(["alerts"], "SELECT address, 6 AS features, 1 AS ok FROM alerts"))
+def ml8_checked(fx):
+    """Six features per alert, the most weighty first, and what an impact says is the difference of two scorings."""
+    e, typ = explained(fx), typical(fx)
+    first = e.groupBy("address").agg(F.max_by("feature", F.abs("impact")).alias("feature"), F.max_by("impact", F.abs("impact")).alias("impact"), F.count(F.lit(1)).alias("features"))
+    rows = Mo.clean(candidates(fx).select("address", *WALLET_COLUMNS), WALLET_COLUMNS).join(first, "address")
+    changed = rows.withColumns({c: F.when(F.col("feature") == c, F.lit(float(typ[c]))).otherwise(F.col(c)) for c in WALLET_COLUMNS})
+    odds = lambda d: Mo.fuse_predict(d, WALLET_COLUMNS, fusion(fx)[1]).select("address", Mo._log_odds(F.col("p")).alias("o"))
+    j = first.join(odds(rows).withColumnRenamed("o", "before"), "address").join(odds(changed).withColumnRenamed("o", "after"), "address")
+    return j.select("address", F.col("features").cast("int").alias("features"), (F.abs(F.col("before") - F.col("after") - F.col("impact")) < 1e-3).cast("int").alias("ok"))
+
+
+@query("ml9_counterfactuals_checked", "SELECT 1 AS some, 1 AS below_high, 1 AS risk_falls")
+def ml9_checked(fx):
+    """There are explanations, each smallest set ends below HIGH, and it ends below where it began."""
+    c = ml9(fx)
+    below = F.coalesce(F.col("minimal_risk") < 65, F.lit(True))
+    return c.agg((F.count(F.lit(1)) > 0).cast("int").alias("some"), F.min(below.cast("int")).alias("below_high"), F.min(F.coalesce(F.col("minimal_risk") <= F.col("risk_before"), F.lit(True)).cast("int")).alias("risk_falls"))
+
+
 # -- evaluation ------------------------------------------------------------------------------------------
 cte("scored", ("scores", "truth"), "SELECT s.address, s.p, t.is_illicit AS y, s.typology, t.typology AS truth, t.entity_id FROM scores s JOIN truth t USING (address)")
 
