@@ -106,15 +106,17 @@ def siem_payloads(alerts: DataFrame, fmt: str, now: Column) -> DataFrame:
     raise ValueError(f"format must be one of {PAYLOAD_FORMATS}")
 
 
-def pending_deliveries(hooks: DataFrame, alerts: DataFrame, events: DataFrame, log: DataFrame, per_hook: int = 500) -> DataFrame:
-    """(hook_id, item_id, kind, risk_score) still to be sent: alerts at or above the hook's severity without a SENT entry, the
-    riskiest ``per_hook`` first, and every unsent movement event (always CRITICAL)."""
+def pending_deliveries(hooks: DataFrame, alerts: DataFrame, events: DataFrame, log: DataFrame, per_hook: int | None = None) -> DataFrame:
+    """(hook_id, item_id, kind, risk_score) still to be sent: alerts at or above the hook's severity without a SENT entry (only the
+    riskiest ``per_hook``, if a caller asks for a page), and every unsent movement event (always CRITICAL)."""
     ranks = {s: i for i, s in enumerate(SEVERITIES)}
     least = F.coalesce(*[F.when(F.upper("min_severity") == s, i) for s, i in ranks.items()], F.lit(ranks["CRITICAL"]))
     wanted = hooks.where("enabled").select(F.col("id").alias("hook_id"), F.explode(F.slice(F.array(*[F.lit(s) for s in SEVERITIES]), least + 1, F.lit(len(SEVERITIES)))).alias("severity"))
     sent = log.where("status = 'SENT'").select(F.col("webhook_id").alias("hook_id"), F.col("alert_id").alias("item_id")).distinct()
-    items = lambda df, kind: df.join(F.broadcast(wanted), "severity").select("hook_id", "item_id", F.lit(kind).alias("kind"), "risk_score").join(sent, ["hook_id", "item_id"], "left_anti")
+    items = lambda df, kind: df.join(wanted, "severity").select("hook_id", "item_id", F.lit(kind).alias("kind"), "risk_score").join(sent, ["hook_id", "item_id"], "left_anti")
     order = W.partitionBy("hook_id").orderBy(F.desc("risk_score"), "item_id")
-    a = items(alerts.select(F.col("alert_id").alias("item_id"), "severity", "risk_score"), "ALERT").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_hook).drop("k")
+    a = items(alerts.select(F.col("alert_id").alias("item_id"), "severity", "risk_score"), "ALERT")
+    if per_hook is not None:
+        a = a.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_hook).drop("k")
     e = items(events.select(F.col("event_id").alias("item_id"), F.lit("CRITICAL").alias("severity"), F.lit(100.0).alias("risk_score")), "MOVEMENT")
     return a.unionByName(e)
