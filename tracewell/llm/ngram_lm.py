@@ -11,7 +11,8 @@ have no state of their own and are predicted from their suffix). Counting, ranki
 stay distributed: word counts of any size are met by a shuffle, only the ``frequent`` commonest words travel as a table.
 
 Defined results: null and empty texts have one token, the end. Texts of any length are read whole. Rows that repeat a doc_id
-are documents of their own; a null doc_id belongs to training. Ties in the rankings go to the smaller key. Without training
+are documents of their own; a null doc_id belongs to training. Words and contexts with equal counts are kept or left out of
+tables together. Without training
 documents every count is 0 and the model is uniform over bytes. An empty table gives an empty result.
 """
 
@@ -83,18 +84,34 @@ class Model:
     kinds: int
 
 
+def most(rows: DataFrame, count: str, at_most: int) -> DataFrame:
+    """The rows with the largest counts, cut where a step of the logarithm of the count would bring more than ``at_most``.
+
+    A histogram of a few hundred steps decides, so no task and no driver sorts rows; rows with equal counts stay or go together.
+    """
+    step = F.floor(F.log2(count) * 16)
+    sizes = sorted(((r["step"], r["n"]) for r in rows.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    lowest, total = 1 << 40, 0
+    for s, n in sizes:
+        total += n
+        if total > at_most:
+            break
+        lowest = s
+    return rows.where(step >= lowest)
+
+
 def fit(counted: DataFrame, states: int = STATES, frequent: int = FREQUENT) -> Model:
     """The automaton and the commonest words from the staged counts of the training documents."""
     words = counted.where("word is not null")
     tokens, kinds, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END_WORD, F.col("n"))), F.lit(0))).first()
-    top = words.where(F.col("word") != END_WORD).select("word", "n").orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    top = most(words.where(F.col("word") != END_WORD).select("word", "n"), "n", frequent).toArrow()
     # every n-gram counts for all its suffixes
     length = F.shiftright("gram", A._BITS).cast("int")
     arcs = (counted.where("gram is not null").select(F.explode(F.sequence(F.lit(1), length)).alias("k"), "gram", "n")
             .select("k", F.expr("gram & (shiftleft(cast(1 as bigint), 8 * k) - 1)").alias("gram"), "n")
             .groupBy("k", "gram").agg(F.sum("n").alias("n")))
     arcs = stage(arcs.withColumn("context", F.expr(f"shiftleft(cast(k - 1 as bigint), {A._BITS}) | shiftright(gram, 8)")), "lm-arcs")
-    best = arcs.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(states).select("context")  # ``states`` rows
+    best = most(arcs.groupBy("context").agg(F.sum("n").alias("total")), "total", states).select("context")  # ``states`` rows at most
     kept = arcs.join(F.broadcast(best), "context").select("k", "gram", "n").toArrow()  # at most 256 arcs a state
     k, gram, m = (kept[c].to_numpy() for c in ("k", "gram", "n"))
     own = {int(i): (gram[k == i], m[k == i]) for i in np.unique(k)}
