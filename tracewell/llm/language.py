@@ -34,6 +34,7 @@ UNIT = 4  # words
 SLICE_CHARS = 4_000_000
 UNDETERMINED = "und"
 CLASSES = 128
+SALTS = 64
 
 
 def byte_classes() -> np.ndarray:
@@ -128,8 +129,10 @@ class Model:
 def fit(docs: DataFrame, per_language: int = 2000, penalty: float = 4.0, rounds: int = 15) -> Model:
     """Learn from ``docs`` (doc_id, text, lang)."""
     rows = docs.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), "lang", F.xxhash64("doc_id").alias("h"))
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    last = rows.select("lang", "h").withColumn("nth", nth).where(F.col("nth") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
+    # first within salted parts of a language, of which SALTS * per_language rows at most meet again
+    nth = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("h"))
+    last = rows.select("lang", "h").withColumn("salt", F.pmod("h", F.lit(SALTS))).withColumn("nth", nth("lang", "salt")).where(F.col("nth") <= per_language)
+    last = last.withColumn("nth", nth("lang")).where(F.col("nth") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
     languages = sorted(r["lang"] for r in last.collect())  # one row per language
     chosen = rows.join(F.broadcast(last), "lang").where("h <= last").select("text", "lang")
 
