@@ -20,6 +20,7 @@ ODD = rf"^ | $|{_SPACE} | {_SPACE}|\x00"
 #: pieces a worker remembers; a bound on memory only, a forgotten piece is encoded again
 REMEMBERED = 1_500_000
 JOINED = 2000
+TOGETHER = 16
 
 
 def default_path() -> str:
@@ -57,10 +58,12 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.values, self.starts, self.lengths = pa.array([], pa.large_string()), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.known, self.values, self.starts, self.lengths = pa.array([], pa.large_string()), np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)
 
     def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = []
+        for i in range(0, len(texts), TOGETHER):  # an encoding holds far more than its ids
+            ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i:i + TOGETHER], add_special_tokens=False)]
         return (np.concatenate(ids) if ids else np.empty(0, np.uint32)), np.array([len(x) for x in ids], np.int64)
 
     def learn(self, pieces: pa.Array) -> None:
@@ -69,10 +72,10 @@ class Encoder:
         ids, _ = self.plain(["".join(texts[i:i + JOINED]) for i in range(0, len(texts), JOINED)])
         starts = np.flatnonzero(self.opens[ids])
         assert len(starts) == len(texts)
-        lengths = np.diff(np.append(starts, len(ids)))
+        lengths = np.diff(np.append(starts, len(ids))).astype(np.int32)
         if len(self.known) > REMEMBERED:
             self.forget()
-        self.starts = np.concatenate((self.starts, starts + len(self.values)))
+        self.starts = np.concatenate((self.starts, (starts + len(self.values)).astype(np.int32)))
         self.values, self.lengths = np.concatenate((self.values, ids)), np.concatenate((self.lengths, lengths))
         self.known = pa.concat_arrays([self.known, pieces])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +33,15 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: after large arrays the allocators would keep it while the process lives on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if trim:
+        trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of a slice hold about ``chars`` bytes; one longer text is a slice of its own."""
     for batch in batches:
@@ -39,7 +50,9 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, chars: int = 8_000_00
         for i, n in enumerate(sizes):
             if held and held + n > chars:
                 yield batch.slice(start, i - start)
+                pa.default_memory_pool().release_unused()  # a worker lives on beside others
                 start, held = i, 0
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+            pa.default_memory_pool().release_unused()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import sliced
+from tracewell.llm.common import give_back, sliced
 
 # fixed values: the kinds in order and what their base matches look like
 KINDS = ("email", "ip", "card", "phone")
@@ -39,7 +39,7 @@ TRIGGER = re.compile(r"[0-9@]")
 WINDOW, STEP = 64, 32
 TAGS = 2 * len(KINDS) + 1  # outside, then begin and inside of each kind
 SYMBOLS = 100  # 95 printable characters, then line break, other letter, other digit, other space, anything else
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 BATCH = 1024
 
 
@@ -346,8 +346,10 @@ def fit(docs: DataFrame, sample_docs: int = 3000, per_kind: int = 500, steps: in
                         y.append(np.pad(t, (0, WINDOW - len(t))).tobytes())
             yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "x": pa.array(x, pa.binary()), "y": pa.array(y, pa.binary())})
 
-    texts = docs.where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select(F.col("text").cast("string").alias("text"))
-    rows = texts.mapInArrow(run, "kind string, x binary, y binary")
+    able = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    # only ids are ranked in one place; the texts of these ``sample_docs`` ids at most are picked where they lie
+    ids = able.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+    rows = able.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(run, "kind string, x binary, y binary")
     nth = F.row_number().over(W.partitionBy("kind").orderBy(F.xxhash64("x"), "x", "y"))
     got = rows.withColumn("nth", nth).where(F.col("nth") <= per_kind).orderBy("kind", "nth").toArrow()
     if not got.num_rows or set(got["kind"].to_pylist()) <= {"none"}:
@@ -355,6 +357,7 @@ def fit(docs: DataFrame, sample_docs: int = 3000, per_kind: int = 500, steps: in
     x, y = (np.frombuffer(b"".join(got[c].to_pylist()), np.uint8).reshape(-1, WINDOW) for c in ("x", "y"))
     network = Network.new()
     network.train(x, y.astype(np.int64), steps)
+    give_back()
     return network
 
 

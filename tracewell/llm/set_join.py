@@ -45,7 +45,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 LEVELS = 3
 SKETCH = 64
 SKETCH_BAR = 0.6
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 TILE_SETS, TILE_TOKENS = 1024, 400_000
 
 _R = np.random.default_rng(20240)

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import automaton as A
-from tracewell.llm.common import fold, sliced
+from tracewell.llm.common import fold, give_back, sliced
 
 SHARED = 2  # n-grams up to this length are counted over both classes
 DISCOUNT = 0.75
 STATES = 40_000
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 2_000_000
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 1
 
 
@@ -83,8 +83,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, passage: int
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c)), pa.array(keys), pa.array(n)], ["toxic", "gram", "n"])
 
     seen = chosen.where(F.col("part") != CALIBRATE).select("text", "toxic").mapInArrow(count, "toxic long, gram long, n long")
-    counts = seen.groupBy("toxic", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # n-grams of the bounded sample
-    grams = {c: A.marginals(g["gram"].to_numpy(), g["n"].to_numpy()) for c, g in counts.groupby("toxic")}
+    counts = seen.groupBy("toxic", "gram").agg(F.sum("n").alias("n")).toArrow()  # n-grams of the bounded sample
+    toxic, gram, n = (counts[c].to_numpy() for c in ("toxic", "gram", "n"))
+    del counts
+    grams = {int(c): A.marginals(gram[toxic == c], n[toxic == c]) for c in np.unique(toxic)}
+    del toxic, gram, n
+    give_back()
     if len(grams) < 2:
         return Model(None, None, passage)
     both = {k: A.counted(np.concatenate([grams[c][k][0] for c in (0, 1)]), np.concatenate([grams[c][k][1] for c in (0, 1)])) for k in grams[0]}
@@ -95,10 +99,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, passage: int
         for k, (gram, n) in grams[c].items():
             weighed.append((((k - 1) << A._BITS) | (gram >> 8), n / all_))
     context, weight = A.counted(np.concatenate([w[0] for w in weighed]), np.concatenate([w[1] for w in weighed]))
-    best = np.lexsort((context, -np.round(weight, 12)))[:STATES]
-    a = A.Automaton(A.closed(context[best]), both[1][0].astype(np.uint8))
-    tables = [A.discounted(a, {k: (both if k <= SHARED else grams[c])[k] for k in both}, DISCOUNT) for c in (0, 1)]
-    model = Model(a, (tables[1] - tables[0]).reshape(-1), passage)
+    best = context[np.lexsort((context, -np.round(weight, 12)))[:STATES]]
+    del weighed, context, weight
+    give_back()
+    a = A.Automaton(A.closed(np.sort(best)), both[1][0].astype(np.uint8))
+    evidence = A.discounted(a, {k: (both if k <= SHARED else grams[1])[k] for k in both}, DISCOUNT)
+    evidence -= A.discounted(a, {k: (both if k <= SHARED else grams[0])[k] for k in both}, DISCOUNT)
+    model = Model(a, evidence.reshape(-1), passage)
+    del grams, both, evidence
+    give_back()
     return calibrated(model, chosen.where(F.col("part") == CALIBRATE).select("doc_id", "text", "toxic"))
 
 
