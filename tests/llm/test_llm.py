@@ -436,6 +436,31 @@ def test_mix_comes_near_its_targets(spark, folder, rows):
     assert sum(len(WORD.findall(r["text"])) for r in got(again)) == sum(by.values()) and again.columns == [c for c in docs.columns if c != ROW]
 
 
+def test_mix_takes_rows_without_an_id(spark, tmp_path):
+    n = 900
+    rows = pa.table({"doc_id": pa.array([None if i % 3 == 1 and i % 2 else i for i in range(n)], pa.int64()), "text": [f"row{i} " + "word " * (40 + i % 50) for i in range(n)], "source": ["odd" if i % 2 else "even" for i in range(n)]})
+    (tmp_path / "d").mkdir()
+    for i in range(3):
+        pq.write_table(rows.slice(i * 300, 300), tmp_path / "d" / f"{i}.parquet")
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    m = mixing.mix(docs)
+    out = got(mixing.taken(m))
+    assert len(out) == n and sum(r["doc_id"] is None for r in out) == n // 6
+    for source in ("odd", "even"):
+        own = [r for r in out if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) < 256
+    con = duckdb.connect()
+    con.register("documents", rows)
+    want = {r[0]: r[4] for r in con.execute(mixing.SQL).fetchall() if r[0] is not None}
+    assert {r["doc_id"]: r["taken"] for r in out if r["doc_id"] is not None} == want
+    # they share no bucket: every block of the stream is whole, and the documents of the mix hold the words taken
+    whole = got(mixing.blocks(m.sizes, m.sources, 64).groupBy("sid", "block").agg(F.sum("words").alias("n")))
+    assert sum(r["n"] for r in whole) == sum(r["size"] for r in out) and sum(r["n"] != 64 for r in whole) <= 2
+    mixed = got(mixing.mixed(numbered(docs)))
+    assert sum(len(WORD.findall(r["text"])) for r in mixed) == sum(r["taken"] for r in out)
+    assert len({r["text"].split()[0] for r in mixed if r["doc_id"] is None}) == len({r["uid"] for r in out if r["doc_id"] is None and r["taken"]})
+
+
 def test_quality_awkward_rows(spark, folder, rows):
     out = got(queries.QUERIES["op10_quality_rules"](spark, folder))
     assert sorted(map(key, out)) == sorted(map(key, rows))

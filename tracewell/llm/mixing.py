@@ -8,7 +8,8 @@ are taken inside (source, bucket) and (source, chunk of slots) groups and shifte
 
 Defined results: null and empty texts and words of any length count by the same expression (size 0 for none); a source
 without words has target 0; sources are compared by code point and null is a source, the last. Rows that repeat a doc_id are
-documents of their own, told apart by their place in the input. An empty table gives an empty result.
+documents of their own, told apart by their place in the input. Rows with a null doc_id are documents like others, the last of
+their source's stream, in the order of a hash of their place. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from tracewell.session import stage
 POINTS = 1 << 31
 #: odd, nearest to POINTS / golden ratio: n -> n * STEP mod POINTS visits every point once
 STEP = 1327217885
+#: greater than any hexadecimal digit
+LAST = "~"
 CELLS = 1024
 CHUNK = 4096
 
@@ -83,8 +86,10 @@ def slots(sources: DataFrame, count: int) -> DataFrame:
 
 def blocks(sizes: DataFrame, sources: DataFrame, block_words: int) -> DataFrame:
     """(sid, block, uid, first, words): which words of which documents a block of a source's shuffled stream holds."""
-    d = (sizes.where("size > 0").withColumn("h", F.md5(F.col("doc_id").cast("string").cast("binary")))
-         .withColumn("bucket", F.substring("h", 1, 3)))
+    hashed = lambda c: F.md5(F.col(c).cast("string").cast("binary"))
+    # rows without an id come after all others (as nulls do in the SQL), spread by their place
+    d = (sizes.where("size > 0").withColumn("h", F.coalesce(hashed("doc_id"), F.concat(F.lit(LAST), hashed("uid"))))
+         .withColumn("bucket", F.expr(f"substring(h, 1, if(startswith(h, '{LAST}'), 4, 3))")))
     d = d.join(sources.select("sid", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")))
     shift = W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     before = d.groupBy("sid", "bucket").agg(F.sum("size").alias("n")).select("sid", "bucket", F.coalesce(F.sum("n").over(shift), F.lit(0)).alias("before"))
