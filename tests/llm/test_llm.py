@@ -106,6 +106,14 @@ def test_backoff_equals_a_recursion_over_counts(spark, folder, rows):
         assert by_id[r["doc_id"]] == pytest.approx(ll, rel=1e-5)
 
 
+@pytest.mark.parametrize("states", [0, 300])
+def test_contexts_outside_the_automaton_count(spark, folder, states):
+    docs = table(spark, folder, "documents").where((F.col("doc_id") < 60) | (F.col("doc_id") > 1000))
+    whole, cut = (sorted(got(ngram_lm.language_model(docs, states=n)), key=lambda r: (key(r), r["score"])) for n in (10**6, states))
+    for a, b in zip(whole, cut, strict=True):
+        assert b == a | {"score": b["score"]} and b["score"] == pytest.approx(a["score"], rel=1e-5)
+
+
 def test_lanes_equal_one_pass():
     texts = pa.array(["the cat sat", "a much longer text " * 200, "", None, "é ü ñ"])
     raw, _ = A.stream(A.words_of(texts))
