@@ -314,6 +314,24 @@ def test_one_of_each_class_stays(spark, folder, rows):
     assert len(out) == len(classes) == len(set(out)) and {r["uid"] for r in got(kept.select("uid"))} == {"own"}
 
 
+@pytest.mark.parametrize("module, name, step", [(set_join, "join", set_join.one_of_each), (mixing, "mix", lambda docs: mixing.mixed(numbered(docs)))])
+def test_rows_keep_their_numbers_when_files_are_split_anew(spark, folder, monkeypatch, module, name, step):
+    docs, first = table(spark, folder, "documents"), getattr(module, name)
+    want = sorted(map(str, got(step(docs))))
+
+    def then_split(docs, **how):
+        out = first(docs, **how)
+        out = stage(out, "test-join") if module is set_join else mixing.Mix(out.sizes, out.sources, stage(out.slices, "test-slices"))
+        spark.conf.set("spark.sql.files.minPartitionNum", 1)
+        return out
+
+    monkeypatch.setattr(module, name, then_split)
+    try:
+        assert sorted(map(str, got(step(table(spark, folder, "documents"))))) == want
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 def test_runs_follow_from_recall():
     assert set_join.runs_for(0.99) < set_join.runs_for(0.999) and set_join.runs_for(0.995) == 12
 

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.session import stage
+
 #: a word is a run of anything but the six ASCII white space characters
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,13 +21,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-#: the place of a row in the stored table it is read from; a name that no table of documents has
+#: the number of a row in the table that numbered() writes; a name that no table of documents has
 ROW = "_row"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ROW. Two reads of one stored table number its rows alike, whatever columns they take."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    """``docs`` with ROW, written once with all columns: a second read of ``docs`` may be split otherwise and number its rows anew."""
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
 def fold(doc_id: str, modulus: int) -> Column:

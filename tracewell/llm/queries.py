@@ -48,7 +48,7 @@ def op4(spark, folder):
 
 @query("op5_set_join")
 def op5(spark, folder):
-    return set_join.join(numbered(table(spark, folder, "documents"))).select("doc_id", "class_id", "n_links")
+    return set_join.join(numbered(table(spark, folder, "documents").select("doc_id", "text"))).select("doc_id", "class_id", "n_links")
 
 
 @query("op6_top_k", top_k.SQL)

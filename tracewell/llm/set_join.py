@@ -321,21 +321,19 @@ def candidates(reps: DataFrame, small: int) -> DataFrame:
 
 
 def shingled(rows: DataFrame) -> DataFrame:
-    """rows (rid, same, text) -> rid, tokens of the texts whose set is the wanted one."""
+    """rows (rid, text) -> rid, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", SLICE_CHARS):
             tokens, offsets = shingles(batch.column("text"))
-            same = [hashlib.blake2b(tokens[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:])]
-            fits = pa.array([a == b for a, b in zip(same, batch.column("same").to_pylist())])
             sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("rid").filter(fits), sets.filter(fits)], ["rid", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), sets], ["rid", "tokens"])
 
-    return rows.select("rid", "same", "text").mapInArrow(run, "rid long, tokens array<long>")
+    return rows.select("rid", "text").mapInArrow(run, "rid long, tokens array<long>")
 
 
 def join(docs: DataFrame, recall: float = 0.995, small: int = 256) -> DataFrame:
-    """uid, doc_id, class_id and n_links of every row of ``docs`` (doc_id, text, and ROW, which becomes uid), a stored table.
+    """uid, doc_id, class_id and n_links of every row of ``docs`` (doc_id, text, and ROW, which becomes uid), as numbered() gives them.
 
     n_links: rows, other than itself, whose text is similar to this one's, copies included.
     """
@@ -345,14 +343,12 @@ def join(docs: DataFrame, recall: float = 0.995, small: int = 256) -> DataFrame:
     reps = all_.join(same.select(F.col("rid").alias("uid")).hint("merge"), "uid", "left_semi").withColumnRenamed("uid", "rid").where("size > 0")
     reps = stage(reps, "join-reps")  # joins below are merges at every size: what they move grows with the input
     found = connected_components(candidates(reps, small), "a", "b")
-    member = (found.withColumnRenamed("node", "rid").join(reps.select("rid", "doc_id", "same", "size"), "rid")
+    member = (found.withColumnRenamed("node", "rid").join(reps.select("rid", "size"), "rid")
               .join(same.select("rid", "copies"), "rid").withColumnRenamed("root", "key"))
     member = stage(member, "join-members")
     parts = member.groupBy("key").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens_in"))
     parts = parts.select("key", F.ceil(F.greatest(F.col("sets") / TILE_SETS, F.col("tokens_in") / TILE_TOKENS)).alias("want"))
-    wanted = member.select("rid", F.col("doc_id").alias("own_id"), "same")
-    texts = rows.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id"))).select("rid", "same", "text")
-    sets = shingled(texts).dropDuplicates(["rid"])
+    sets = shingled(rows.withColumnRenamed("uid", "rid").join(member.select("rid").hint("merge"), "rid"))
     todo = tiled(member.select("key", "rid", "copies").join(parts, "key"), F.col("want")).join(sets, "rid").select("key", "i", "j", "part", "rid", "copies", "tokens")
     links = stage(in_groups(todo, similar, "a long, b long, n long"), "join-links")
     classes = connected_components(links.where("b is not null").select("a", "b"), "a", "b")
