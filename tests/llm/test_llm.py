@@ -374,6 +374,16 @@ def test_pieces_give_the_ids_of_whole_texts():
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_added_tokens_get_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y z", "a <|endoftext |> b", "plain text here", "a b <|endoftext|"]
+    ids, n = bpe.Encoder(bpe.default_path()).encode(pa.array(texts))
+    want = [x.ids for x in Tokenizer.from_file(bpe.default_path()).encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_token_files_round_trip(spark, folder, rows, encoded):
     docs = table(spark, folder, "documents")
     manifest = token_files.write(docs, bpe.default_path(), 2, partitions=5)

@@ -2,12 +2,14 @@
 
 A single blank between two characters that are not white space always starts a new pre-token, so the ids of a text are the
 ids of its pieces cut there, one after the other. Pieces repeat far more often than texts do; each worker encodes a piece
-once and gathers ids by piece. Texts with any other blank take the plain way, whole.
+once and gathers ids by piece. Texts with any other blank, or with the string of an added token (which the library gives
+its own id), take the plain way, whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -50,7 +52,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        self.odd = "|".join([ODD, *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
         vocab = self.tokenizer.get_vocab()
         self.size = max(vocab.values()) + 1
         self.opens = np.zeros(self.size, bool)  # ids of tokens that begin with the blank
@@ -83,7 +85,7 @@ class Encoder:
         """(ids of all texts end to end, number of ids of each); null is the empty text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         counts = np.zeros(len(texts), np.int64)
-        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         parts = {}
         if odd.any():
             ids, n = self.plain(texts.filter(pa.array(odd)).to_pylist())
