@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, language, mixing, ngram_lm, packing, pii, quality, set_join, token_files, top_k, toxicity
+from tracewell.llm import bpe, language, mixing, ngram_lm, packing, phrases, pieces, pii, quality, set_join, spelling, token_files, top_k, toxicity
 from tracewell.llm.common import numbered, table
 from tracewell.session import prepare
 
@@ -74,3 +74,18 @@ def op9(spark, folder):
 @query("op10_quality_rules", quality.SQL)
 def op10(spark, folder):
     return quality.rules(table(spark, folder, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op11_sentence_pieces")
+def op11(spark, folder):
+    return pieces.digests(table(spark, folder, "documents"))
+
+
+@query("op12_spelling_variants")
+def op12(spark, folder):
+    return spelling.variants(spelling.vocabulary(table(spark, folder, "documents")))
+
+
+@query("op13_collocations")
+def op13(spark, folder):
+    return phrases.collocations(table(spark, folder, "documents"))
