@@ -7,13 +7,17 @@ gives the optimizer real file sizes, which is what decides whether a later join
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHARED: dict[str, str] = {}
 _MEMO: dict[tuple, DataFrame] = {}
+_RECORDERS: list[list[str]] = []
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -60,6 +64,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    for paths in _RECORDERS:
+        paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracewell_stage = path
     return out
@@ -69,9 +75,37 @@ def drop_stage(df: DataFrame) -> None:
     """Delete a stage table that no later plan reads (older rounds of an iteration)."""
     path = getattr(df, "_tracewell_stage", None)
     if path:
-        jvm = df.sparkSession._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hpath, True)
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The paths that stage() writes (and note() names) meanwhile, for an owner who deletes them when nothing reads them any more."""
+    paths: list[str] = []
+    _RECORDERS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDERS[:] = [p for p in _RECORDERS if p is not paths]
+
+
+def note(path: str) -> None:
+    """Let recorders know of a folder that something else than stage() writes."""
+    for paths in _RECORDERS:
+        paths.append(path)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete recorded folders and let both sides collect, so that Spark's cleaner deletes the shuffle files of dropped plans."""
+    while paths:
+        delete(spark, paths.pop())
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def memo_stage(spark: SparkSession, key: tuple, label: str, build) -> DataFrame:
