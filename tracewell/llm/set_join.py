@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import automaton as A
-from tracewell.llm.common import ROW, numbered, sliced
+from tracewell.llm.common import ROW, kept_in_place, numbered, sliced
 from tracewell.operators.graph import connected_components
 from tracewell.session import stage
 
@@ -340,15 +340,15 @@ def join(docs: DataFrame, recall: float = 0.995, small: int = 256) -> DataFrame:
     rows = docs.select(F.col(ROW).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_ = stage(sketched(rows, runs_for(recall)), "join-sketches")
     same = stage(all_.groupBy("same").agg(F.min("uid").alias("rid"), F.count("*").alias("copies"), F.min("doc_id").alias("first")), "join-copies")
-    reps = all_.join(same.select(F.col("rid").alias("uid")).hint("merge"), "uid", "left_semi").withColumnRenamed("uid", "rid").where("size > 0")
-    reps = stage(reps, "join-reps")  # joins below are merges at every size: what they move grows with the input
+    # one of each set of copies, where it lies; joins below are merges at every size: what they move grows with the input
+    reps = kept_in_place(all_.where("size > 0"), same.select(F.col("rid").alias("uid")), "uid").withColumnRenamed("uid", "rid")
     found = connected_components(candidates(reps, small), "a", "b")
     member = (found.withColumnRenamed("node", "rid").join(reps.select("rid", "size"), "rid")
               .join(same.select("rid", "copies"), "rid").withColumnRenamed("root", "key"))
     member = stage(member, "join-members")
     parts = member.groupBy("key").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens_in"))
     parts = parts.select("key", F.ceil(F.greatest(F.col("sets") / TILE_SETS, F.col("tokens_in") / TILE_TOKENS)).alias("want"))
-    sets = shingled(rows.withColumnRenamed("uid", "rid").join(member.select("rid").hint("merge"), "rid"))
+    sets = shingled(kept_in_place(rows, member.select(F.col("rid").alias("uid")), "uid").withColumnRenamed("uid", "rid"))
     todo = tiled(member.select("key", "rid", "copies").join(parts, "key"), F.col("want")).join(sets, "rid").select("key", "i", "j", "part", "rid", "copies", "tokens")
     links = stage(in_groups(todo, similar, "a long, b long, n long"), "join-links")
     classes = connected_components(links.where("b is not null").select("a", "b"), "a", "b")
@@ -365,4 +365,4 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     rows = numbered(docs)
     found = join(rows, **how)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("x")).select(F.col("x.uid").alias(ROW))
-    return rows.join(stage(first, "join-first"), ROW, "left_semi").drop(ROW)
+    return kept_in_place(rows, first).drop(ROW)
