@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,12 +73,17 @@ _PART = 33
 
 
 def kept_in_place(rows: DataFrame, chosen: DataFrame, column: str = ROW) -> DataFrame:
-    """The rows of ``rows`` whose ``column`` (numbers as numbered() gives them, read back from a table) is in ``chosen``; none moves.
+    """The rows of ``rows`` whose ``column`` (numbers as numbered() gives them, read back from a table) is in ``chosen``; none moves."""
+    return rows.mapInArrow(keeper(chosen, column), rows.schema)
+
+
+def keeper(chosen: DataFrame, column: str = ROW) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The filter of kept_in_place() for use inside a task: batches to batches.
 
     The chosen numbers are sorted into files in the shared folder, one run per partition in which they were given. A task reads
     the runs of the partitions that its rows come from, and nothing else is sent: the manifest has a line per partition.
     """
-    spark = rows.sparkSession
+    spark = chosen.sparkSession
     folder = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex[:12]}"
     where, path = open_folder(folder)
     where.create_dir(path, recursive=True)
@@ -120,4 +125,4 @@ def kept_in_place(rows: DataFrame, chosen: DataFrame, column: str = ROW) -> Data
                     good |= held[at] == x
             yield batch if good.all() else batch.filter(pa.array(good))
 
-    return rows.mapInArrow(keep, rows.schema)
+    return keep

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import automaton as A
-from tracewell.llm.common import ROW, kept_in_place, numbered, sliced
+from tracewell.llm.common import ROW, keeper, kept_in_place, numbered, sliced
 from tracewell.operators.graph import connected_components
 from tracewell.session import stage
 
@@ -320,16 +320,16 @@ def candidates(reps: DataFrame, small: int) -> DataFrame:
     return in_groups(rows, maybe_similar, "a long, b long")
 
 
-def shingled(rows: DataFrame) -> DataFrame:
-    """rows (rid, text) -> rid, tokens."""
+def shingled(rows: DataFrame, kept) -> DataFrame:
+    """rows (uid, text) -> rid, tokens of those that ``kept`` lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", SLICE_CHARS):
+        for batch in sliced(kept(batches), "text", SLICE_CHARS):
             tokens, offsets = shingles(batch.column("text"))
             sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), sets], ["rid", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), sets], ["rid", "tokens"])
 
-    return rows.select("rid", "text").mapInArrow(run, "rid long, tokens array<long>")
+    return rows.select("uid", "text").mapInArrow(run, "rid long, tokens array<long>")
 
 
 def join(docs: DataFrame, recall: float = 0.995, small: int = 256) -> DataFrame:
@@ -348,7 +348,7 @@ def join(docs: DataFrame, recall: float = 0.995, small: int = 256) -> DataFrame:
     member = stage(member, "join-members")
     parts = member.groupBy("key").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens_in"))
     parts = parts.select("key", F.ceil(F.greatest(F.col("sets") / TILE_SETS, F.col("tokens_in") / TILE_TOKENS)).alias("want"))
-    sets = shingled(kept_in_place(rows, member.select(F.col("rid").alias("uid")), "uid").withColumnRenamed("uid", "rid"))
+    sets = shingled(rows, keeper(member.select(F.col("rid").alias("uid")), "uid"))
     todo = tiled(member.select("key", "rid", "copies").join(parts, "key"), F.col("want")).join(sets, "rid").select("key", "i", "j", "part", "rid", "copies", "tokens")
     links = stage(in_groups(todo, similar, "a long, b long, n long"), "join-links")
     classes = connected_components(links.where("b is not null").select("a", "b"), "a", "b")
