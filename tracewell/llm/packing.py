@@ -30,11 +30,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe
-from tracewell.llm.common import sliced
-from tracewell.llm.token_files import SLICE_CHARS, with_end
+from tracewell.llm.common import give_back, sliced
+from tracewell.llm.token_files import with_end
 from tracewell.session import stage
 
 BUCKETS = 64
+SLICE_CHARS = 3_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -42,6 +43,7 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFra
     """One row per piece. The first piece of a longer document takes what whole pieces leave over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # the worker may have served other stages before
         encoder = bpe.encoder(vocabulary)
         for batch in sliced(batches, "text", SLICE_CHARS):
             ids, counts = with_end(*encoder.encode(batch.column("text")), end_id)
