@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tracewell.config import TX_CLASSES
+from tracewell.config import SETTINGS, TX_CLASSES
 from tracewell.operators import evaluate as Ev
 from tracewell.operators import graph as G
 from tracewell.operators import models as Mo
+from tracewell.operators import stored as St
 from tracewell.operators import wallet_features as Wf
 from tracewell.operators.temporal import running_totals
 from tracewell.operators.tx_features import TX_COLUMNS
@@ -17,6 +20,7 @@ from tracewell.plans import queries_graph as Qg
 from tracewell.plans.oracle import cte, r, with_ctes
 from tracewell.plans.queries_ledger import r6
 from tracewell.plans.registry import query
+from tracewell.session import shared_dir
 
 WALLET_COLUMNS = ["n_recv", "recv_btc", "n_spend", "sent_btc", "lifetime_h", "hold_h", "reused", "spend_max_n_out", "fund_n_out", "min_respend_min", "max_peel_shape", "share_risky_asn", "share_datacenter",
                   "n_spend_countries", "fund_out_cv", "fund_in_hub", "max_p_peel", "max_p_coinjoin", "taint", "hops_from_seed"]
@@ -229,6 +233,48 @@ def ml9_checked(fx):
     return c.agg((F.count(F.lit(1)) > 0).cast("int").alias("some"), F.min(below.cast("int")).alias("below_high"), F.min(F.coalesce(F.col("minimal_risk") <= F.col("risk_before"), F.lit(True)).cast("int")).alias("risk_falls"))
 
 
+# -- models that were written and read again ---------------------------------------------------------------
+def typology_model(fx):
+    if not hasattr(fx, "_typology_model"):
+        fx._typology_model = Mo.typology_train(wallet_matrix(fx), training_labels(fx).withColumn("y", F.lit(1)), WALLET_COLUMNS)
+    return fx._typology_model
+
+
+def reloaded(fx):
+    """All three models through the disk, loaded by another session object."""
+    if not hasattr(fx, "_reloaded"):
+        place = f"{shared_dir(fx.spark)}/models-{uuid.uuid4().hex[:10]}"
+        St.save(fx.spark, St.Models(class_run(fx)[1], list(TX_COLUMNS), fusion(fx)[1], WALLET_COLUMNS, typology_model(fx), WALLET_COLUMNS), place)
+        fx._reloaded = St.load(fx.spark.newSession(), place)
+    return fx._reloaded
+
+
+def alike(a, b, key):
+    """(key, same): 1 where all columns of both tables agree, in every row of either."""
+    columns = [c for c in a.columns if c != key]
+    j = a.join(b.select(key, *[F.col(c).alias(f"{c}__b") for c in columns]), key, "full")
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}__b"))
+    return j.select(key, same.cast("int").alias("same"))
+
+
+@query("ml2_tx_class_reloaded", with_ctes(["tx"], "SELECT txid, 1 AS same FROM tx"))
+def ml2_reloaded(fx):
+    """Classes of unlabelled transactions by the model in memory and by the one read back, row for row."""
+    return alike(Mo.tx_classes(D.x(fx), TX_COLUMNS, None, class_run(fx)[1])[0], St.tx_classes(D.x(fx), reloaded(fx)), "txid")
+
+
+@query("ml5_fuse_predict_reloaded", with_ctes(["addr"], "SELECT address, 1 AS same FROM addr"))
+def ml5_reloaded(fx):
+    return alike(ml5(fx), St.risk(wallet_matrix(fx), reloaded(fx)), "address")
+
+
+@query("ml6_typology_reloaded", with_ctes(["addr"], "SELECT address, 1 AS same FROM addr"))
+def ml6_reloaded(fx):
+    return alike(Mo.typology_probabilities(typology_model(fx), wallet_matrix(fx), WALLET_COLUMNS), St.typologies(wallet_matrix(fx), reloaded(fx)), "address")
+
+
 # -- evaluation ------------------------------------------------------------------------------------------
 cte("scored", ("scores", "truth"), "SELECT s.address, s.p, t.is_illicit AS y, s.typology, t.typology AS truth, t.entity_id FROM scores s JOIN truth t USING (address)")
 
@@ -350,7 +396,7 @@ def ev10(fx):
     pairs = Qg.part_edges(fx).select((F.col("src") % n_nodes).alias("src"), (F.col("dst") % n_nodes).alias("dst"))
     e = (pairs.join(node, "src").join(node.toDF("dst", "s2"), "dst").where("s1 = s2 and src <> dst").select("src", "dst"))
     e = e.union(e.select("dst", "src")).distinct()
-    ppr = G.pagerank(e, seeds, 8, 1e-8, weight=None, nodes=t.select(F.col("address").alias("node")))
+    ppr = G.pagerank(e, seeds, SETTINGS.pagerank_max_rounds, SETTINGS.pagerank_tol, weight=None, nodes=t.select(F.col("address").alias("node")))
     near = G.bfs_hops(e, seeds, 2, 1_000_000)
     hidden = (t.join(seeds, "address", "left_anti").join(ppr.select(F.col("node").alias("address"), F.round("rank", 12).alias("ppr")), "address", "left").fillna({"ppr": 0.0})
               .join(near.select(F.col("node").alias("address"), "hops"), "address", "left").withColumn("near", F.col("hops").isNotNull().cast("double")))
@@ -407,5 +453,5 @@ def score_all(fx):
     """The whole way from the ledger of adapter A to alerts with their next step."""
     from tracewell.plans.scoring import Effort, References, score
     refs = References(fx.known, fx.seeds, fx.centroids, training_labels(fx), tx_labels(fx), fx.watchlist)
-    small = Effort(folds=2, repeats=1, iterations=4, depth=3, forest_trees=8, anomaly_trees=50, pagerank_rounds=8)
+    small = Effort(folds=2, repeats=1, iterations=4, depth=3, forest_trees=8, anomaly_trees=50)
     return score(fx.a, refs, small)["alerts"].select("alert_id", "address", "cluster_id", "typology", "risk_score", "severity", "confidence", "action")

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import watch as Wa
 from tracewell.plans.oracle import r, with_ctes
+from tracewell.plans.queries_ledger import r6 as r8
 from tracewell.plans.queries_io import TEXT_COLUMNS, csv_files, folder
 from tracewell.plans.registry import query
 from tracewell.session import shared_dir
 from tracewell.sources import ingest as In
 from tracewell.streaming import jobs as J
+from tracewell.streaming.store import FirstSeenStore, first_seen
 
 
 def _place(fx):
@@ -77,3 +79,41 @@ def in10s(fx):
     out, checkpoint = _place(fx)
     J.run_to_table(J.dedup_stream(stream), out, checkpoint).awaitTermination()
     return fx.spark.read.parquet(out).select("txid", "src_ip", "ts_ms")
+
+
+@query("in9_first_observation_store", with_ctes(["obs"], "SELECT txid, min(epoch_us(ts)) AS ts_us, arg_min(src_ip, (ts, src_ip)) AS src_ip, count(*) AS n_obs FROM obs GROUP BY txid"))
+def in9_store(fx):
+    """All observations, newest file first, merged batch by batch; then the last batch once more and a restart, which change nothing."""
+    path, new = folder(fx, "obs-late")
+    if new:
+        fx.obs.repartitionByRange(4, F.desc("ts")).write.parquet(path)
+    schema = fx.spark.read.parquet(path).schema
+    stream = lambda: fx.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out, checkpoint = _place(fx)
+    store = FirstSeenStore(fx.spark, out, schema, buckets=8)
+    first_seen(stream(), store, checkpoint).awaitTermination()
+    store.merge(fx.obs, max(store._published()))
+    first_seen(stream(), store, checkpoint).awaitTermination()
+    return store.read().select("txid", F.unix_micros("ts").alias("ts_us"), "src_ip", "n_obs")
+
+
+@query("al12_watch_events_stream", with_ctes(["targets", "tin", "tout", "tx"], f"""
+    SELECT 'W-' || substr(sha1(address || '|' || CAST(txid AS VARCHAR)), 1, 10) AS event_id, address, txid, {r('moved', 8)} AS amount_btc, coalesce(n, 0) AS destinations, {r('coalesce(paid, 0)', 6)} AS paid,
+           CASE WHEN coalesce(confirmed, true) THEN 'TRACE_AND_REVIEW' ELSE 'UNCONFIRMED_MOVEMENT' END AS recommended
+    FROM (SELECT address, txid, sum(amount) AS moved FROM tin JOIN targets USING (address) WHERE watched_from IS NULL OR ts > watched_from GROUP BY ALL) JOIN tx USING (txid)
+    LEFT JOIN (SELECT txid, count(*) AS n, sum(amount) AS paid FROM tout GROUP BY 1) USING (txid)"""))
+def al12_events(fx):
+    """Whole transactions as a stream, newest first, some of them twice in a later batch; a restart records nothing twice."""
+    path, new = folder(fx, "transactions")
+    if new:
+        side = lambda df, c: df.groupBy("txid").agg(F.sort_array(F.collect_list(F.struct("idx", "address", "amount"))).alias(c)).select("txid", F.transform(c, lambda x: F.struct(x.address.alias("address"), x.amount.alias("amount"))).alias(c))
+        t = fx.tx_a.select("txid", "ts", "confirmed", "rbf").join(side(fx.tin_a, "inputs"), "txid").join(side(fx.tout_a, "outputs"), "txid", "left")
+        t.repartitionByRange(4, F.desc("ts")).write.parquet(path)
+        t.where("txid % 7 = 0").coalesce(1).write.mode("append").parquet(path)
+    stream = lambda: fx.spark.readStream.schema(fx.spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out, checkpoint = _place(fx)
+    for _ in range(2):
+        J.watch_transactions(stream(), Wa.watch_targets(fx.watchlist, fx.seeds), out, checkpoint).awaitTermination()
+    e = J.recorded_events(fx.spark, out)
+    paid = F.aggregate(F.coalesce("destinations", F.array().cast("array<struct<address:string,amount:double>>")), F.lit(0.0), lambda a, x: a + F.coalesce(x.amount, F.lit(0.0)))
+    return e.select("event_id", "address", "txid", r8("amount_btc", 8).alias("amount_btc"), F.coalesce(F.size("destinations"), F.lit(0)).cast("long").alias("destinations"), r8(paid, 6).alias("paid"), "recommended")
