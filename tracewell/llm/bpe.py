@@ -32,8 +32,8 @@ def default_path() -> str:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    return Encoder(path, remembered)
 
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -47,7 +47,8 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -75,7 +76,7 @@ class Encoder:
         starts = np.flatnonzero(self.opens[ids])
         assert len(starts) == len(texts)
         lengths = np.diff(np.append(starts, len(ids))).astype(np.int32)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.forget()
         self.starts = np.concatenate((self.starts, (starts + len(self.values)).astype(np.int32)))
         self.values, self.lengths = np.concatenate((self.values, ids)), np.concatenate((self.lengths, lengths))
@@ -104,7 +105,7 @@ class Encoder:
                 want = u.filter(pa.array(inner))
                 place = pc.index_in(want, value_set=self.known)
                 if place.null_count:
-                    if len(self.known) + place.null_count > REMEMBERED:
+                    if len(self.known) + place.null_count > self.remembered:
                         self.forget()
                         self.learn(want)
                     else:

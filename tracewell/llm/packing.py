@@ -36,6 +36,8 @@ from tracewell.session import stage
 
 BUCKETS = 64
 SLICE_CHARS = 3_000_000
+#: pieces a worker remembers, a bound on memory only
+REMEMBERED = 500_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -44,7 +46,7 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()  # the worker may have served other stages before
-        encoder = bpe.encoder(vocabulary)
+        encoder = bpe.encoder(vocabulary, REMEMBERED)
         for batch in sliced(batches, "text", SLICE_CHARS):
             ids, counts = with_end(*encoder.encode(batch.column("text")), end_id)
             ids = ids.astype("<u4")
