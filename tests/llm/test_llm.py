@@ -356,6 +356,45 @@ def test_top_k_equals_brute_force(spark, tmp_path, shard_rows, query_block):
     assert sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in out) == sorted(want)
 
 
+def test_tree_has_inner_boxes_and_leaves_most_of_itself_alone():
+    r = np.random.default_rng(8)
+    centres = r.normal(0, 500, (20, 6))
+    rows = np.floor(centres[np.arange(4000) % 20] + r.normal(0, 20, (4000, 6)))
+    ids = r.permutation(4000).astype(np.int64)
+    tree = top_k.Tree(ids, rows)
+    assert sum(len(i) for i, _ in tree.leaves.values()) == 4000 and len(tree.child) == 2 * len(tree.leaves) - 1
+    for i, c in enumerate(tree.child.tolist()):
+        for side in (c, c + 1) if c else ():
+            assert (tree.low[side] >= tree.low[i]).all() and (tree.high[side] <= tree.high[i]).all()
+
+    class Watched(dict):
+        def __getitem__(self, node):
+            seen.append(node)
+            return super().__getitem__(node)
+
+    seen, leaves = [], len(tree.leaves)
+    tree.leaves = Watched(tree.leaves)
+    for q in range(0, 4000, 400):
+        seen.clear()
+        _, who, score = tree.search(ids[q:q + 1], rows[q:q + 1], 5, np.array([top_k.LOWEST]))
+        want = sorted((-int(rows[q] @ rows[i]), int(ids[i])) for i in range(4000) if i != q)[:5]
+        assert list(zip((-score).tolist(), who.tolist())) == want and len(seen) < leaves / 3
+
+
+def test_cells_part_the_space_and_prune_shards(spark, tmp_path):
+    r = np.random.default_rng(4)
+    v = r.normal(0, 1, (12, 4))[np.arange(3000) % 12] + r.normal(0, 0.05, (3000, 4))
+    v[:1200] = v[0]  # a third of all rows are copies: one cell, several shards
+    cells = top_k.Cells(np.floor(256 * v[::3]), 16)
+    own = cells.of(np.floor(256 * v))
+    assert own.min() >= 0 and own.max() < cells.cells <= 16 and len(set(own[:1200])) == 1
+    pq.write_table(pa.table({"vec_id": np.arange(3000), "embedding": pa.array(v.tolist())}), tmp_path / "e.parquet")
+    out = got(top_k.top_k(spark.read.parquet(str(tmp_path / "e.parquet")), F.col("vec_id") % 50 == 0, shard_rows=150, sample_values=2000))
+    x = np.floor(256 * v).astype(np.int64)
+    want = [(q, n, i, -s) for q in range(0, 3000, 50) for n, (s, i) in enumerate(sorted((-int(d), i) for i, d in enumerate(x @ x[q]) if i != q)[:5], 1)]
+    assert sorted((y["query_id"], y["rank"], y["vec_id"], y["score"]) for y in out) == sorted(want)
+
+
 # 7 token files and 9 packing
 
 @pytest.fixture(scope="module")
