@@ -157,8 +157,9 @@ def marginals(keys: np.ndarray, counts: np.ndarray) -> dict[int, tuple[np.ndarra
     return out
 
 
-def discounted(a: Automaton, by_length: dict[int, tuple[np.ndarray, np.ndarray]], discount: float) -> np.ndarray:
+def discounted(a: Automaton, by_length: dict[int, tuple[np.ndarray, np.ndarray]], discount: float | dict[int, float]) -> np.ndarray:
     """The table of absolute discounting over the states of ``a``: what is taken from seen bytes goes to the failure arc."""
+    by = discount if isinstance(discount, dict) else dict.fromkeys(by_length, discount)
     context, byte, share, left = [], [], [], np.ones(len(a.contexts))
     for k, (gram, n) in by_length.items():
         c = ((k - 1) << _BITS) | (gram >> 8)
@@ -167,6 +168,29 @@ def discounted(a: Automaton, by_length: dict[int, tuple[np.ndarray, np.ndarray]]
         state = a.state_of(c)
         total, kinds = np.bincount(state, n, len(a.contexts)), np.bincount(state, minlength=len(a.contexts))
         seen = kinds > 0
-        left[seen] = discount * kinds[seen] / total[seen]
-        context.append(c), byte.append(gram & 255), share.append((n - discount) / total[state])
+        left[seen] = by[k] * kinds[seen] / total[seen]
+        context.append(c), byte.append(gram & 255), share.append((n - by[k]) / total[state])
     return a.table(np.concatenate(context), np.concatenate(byte), np.concatenate(share), left, 1 / 256)
+
+
+def continuations(*by_length: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Kneser-Ney counts of n-grams below the highest order: the number of different bytes seen to their left, over all given counts.
+
+    An n-gram that begins with the end mark has nothing to its left and keeps its own count."""
+    out = {ORDER: counted(np.concatenate([c[ORDER][0] for c in by_length]), np.concatenate([c[ORDER][1] for c in by_length]))}
+    for k in range(1, ORDER):
+        longer = np.unique(np.concatenate([c[k + 1][0] for c in by_length]))
+        bare = [(g, n) for g, n in (c[k] for c in by_length)]
+        own, n = counted(np.concatenate([g for g, _ in bare]), np.concatenate([n for _, n in bare]))
+        first = (own >> 8 * (k - 1) == END) & (k > 1)
+        out[k] = counted(np.concatenate((longer & ((1 << 8 * k) - 1), own[first])), np.concatenate((np.ones(len(longer), np.int64), n[first])))
+    return out
+
+
+def discounts(by_length: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, float]:
+    """What Kneser-Ney takes from each count of a length: n1 / (n1 + 2 n2), from the n-grams counted once and twice."""
+    out = {}
+    for k, (_, n) in by_length.items():
+        once, twice = int((n == 1).sum()), int((n == 2).sum())
+        out[k] = min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
+    return out

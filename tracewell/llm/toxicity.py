@@ -1,13 +1,19 @@
-"""Toxicity by two class-conditional language models whose likelihoods are compared.
+"""Toxicity by two class-conditional Kneser-Ney models whose likelihoods are compared.
 
-Labelled texts of each class give byte n-gram counts. Contexts of three bytes and more belong to the class; shorter ones are
-shared by both, and what discounting takes from a class's own counts goes down to them, so an expression too rare to have
-counts of its own is judged alike by both models. A word's evidence is the difference of its log-likelihoods; a document is
-as toxic as its worst passage of ``passage`` words, per word, since a slur in a long clean text is diluted by any whole-text
-mean. Where that passes the threshold is read off labelled rows that the counts have not seen.
+Labelled texts of each class give byte n-gram counts. The longest n-grams count as they occur, shorter ones by the number of different
+bytes seen to their left, and each length has the discount that its n-grams seen once and twice ask for. Contexts of two bytes and
+more belong to the class; below them both classes share one table of continuation counts, and what discounting takes from a
+class's own counts goes down to it, so an expression too rare to have counts of its own is judged alike by both models.
+
+A document's evidence is a ratio of two likelihoods, per word: that of a text with one passage of ``passage`` words from the toxic
+model at a place unknown, all else ordinary, against that of a text ordinary throughout. That is the mean over all passages of
+their likelihood ratios, so a long clean text, which has more passages, is not judged toxic by their number, and the words
+around a slur do not dilute it as in the ratio of whole texts; a text of one passage has that ratio itself. Where the
+evidence passes the threshold is read off labelled rows that the counts have not seen.
 
 The models are fitted on a bounded sample, ``per_class`` labelled documents of each class, the first in the order of a hash
-of the id; every whole text is scored. Only doc_id and text of a document and toxic of its label are ever read.
+of the id, and all counts come from all of it; the ``states`` contexts of most weight become states of the automaton, rarer ones
+are predicted from their suffix. Every whole text is scored. Only doc_id and text of a document and toxic of its label are ever read.
 
 Defined results: a null or empty text is a text of one empty word; without labels of both classes all scores are 0.
 Labels repeated for a document count as toxic if any is; null labels do not count. Rows that repeat a doc_id are scored row by
@@ -28,7 +34,6 @@ from tracewell.llm import automaton as A
 from tracewell.llm.common import fold, give_back, sliced
 
 SHARED = 2  # n-grams up to this length are counted over both classes
-DISCOUNT = 0.75
 STATES = 40_000
 SLICE_CHARS = 2_000_000
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 1
@@ -43,18 +48,26 @@ class Model:
     slope: float = 1.0
 
     def strength(self, texts: pa.Array) -> np.ndarray:
-        """Evidence per word of the worst passage of each text."""
+        """Log10 likelihood ratio per word of each text: one toxic passage somewhere against none."""
         if self.automaton is None:
             return np.full(len(texts), -np.inf)
         raw, end = A.stream(A.words_of(texts))
+        if not len(end):
+            return np.empty(0)
         total = np.cumsum(self.evidence[self.automaton.lanes(raw)], dtype=np.float64)
         close = np.flatnonzero((raw == 0x20) | (raw == A.END))  # the end mark counts as a word
         run = np.concatenate(([0.0], total[close]))
         stop = np.searchsorted(close, end)
         start = np.concatenate(([0], stop[:-1]))
+        words = stop - start
         word = np.arange(len(close))
-        last = np.minimum(word + self.passage, np.repeat(stop, stop - start))
-        return np.maximum.reduceat((run[last] - run[word]) / self.passage, start) if len(end) else np.empty(0)
+        last = np.minimum(word + self.passage, np.repeat(stop, words))
+        ratio = (run[last] - run[word]) * np.log(10)
+        ratio[(last - word < self.passage) & (word > np.repeat(start, words))] = -np.inf  # the tail of a passage is none of its own
+        top = np.maximum.reduceat(ratio, start)
+        passages = np.maximum(words - self.passage + 1, 1)
+        mean = top + np.log(np.add.reduceat(np.exp(ratio - np.repeat(top, words)), start) / passages)
+        return mean / np.log(10) / np.minimum(words, self.passage)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -71,7 +84,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows at most
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, passage: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, passage: int = 2, states: int = STATES) -> Model:
     chosen = sample(docs, labels, per_class)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, passage: int
     give_back()
     if len(grams) < 2:
         return Model(None, None, passage)
-    both = {k: A.counted(np.concatenate([grams[c][k][0] for c in (0, 1)]), np.concatenate([grams[c][k][1] for c in (0, 1)])) for k in grams[0]}
+    symbols = np.union1d(grams[0][1][0], grams[1][1][0]).astype(np.uint8)
     # the contexts that weigh most, classes alike; a context never weighs more than its prefix or its suffix
     weighed = []
     for c in (0, 1):
@@ -99,14 +112,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, passage: int
         for k, (gram, n) in grams[c].items():
             weighed.append((((k - 1) << A._BITS) | (gram >> 8), n / all_))
     context, weight = A.counted(np.concatenate([w[0] for w in weighed]), np.concatenate([w[1] for w in weighed]))
-    best = context[np.lexsort((context, -np.round(weight, 12)))[:STATES]]
+    best = context[np.lexsort((context, -np.round(weight, 12)))[:states]]
     del weighed, context, weight
     give_back()
-    a = A.Automaton(A.closed(np.sort(best)), both[1][0].astype(np.uint8))
-    evidence = A.discounted(a, {k: (both if k <= SHARED else grams[1])[k] for k in both}, DISCOUNT)
-    evidence -= A.discounted(a, {k: (both if k <= SHARED else grams[0])[k] for k in both}, DISCOUNT)
+    a = A.Automaton(A.closed(np.sort(best)), symbols)
+    shared = {k: c for k, c in A.continuations(grams[0], grams[1]).items() if k <= SHARED}
+
+    def log_p(c: int) -> np.ndarray:
+        own = A.continuations(grams[c]) | shared
+        return A.discounted(a, own, A.discounts(own))
+
+    evidence = log_p(1)
+    evidence -= log_p(0)
     model = Model(a, evidence.reshape(-1), passage)
-    del grams, both, evidence
+    del grams, shared, evidence
     give_back()
     return calibrated(model, chosen.where(F.col("part") == CALIBRATE).select("doc_id", "text", "toxic"))
 
