@@ -249,3 +249,42 @@ def test_addresses_without_a_range_keep_their_rows(spark):
     ips = spark.createDataFrame([(None,), ("::ffff:1.2.3.4",), ("1.2.3.9",), ("2abc::1",), ("2001:db8::1",), ("12345::1",), ("x",), ("1.2.3.9",)], "src_ip string")
     got = sorted((r["src_ip"] or "", r["country"]) for r in E.ip_range_join(ips, ranges).collect())
     assert got == [("", "XX"), ("1.2.3.9", "AA"), ("1.2.3.9", "AA"), ("12345::1", "XX"), ("2001:db8::1", "CC"), ("2abc::1", "BB"), ("::ffff:1.2.3.4", "AA"), ("x", "XX")]
+
+
+def test_factored_flow_equals_pairs_and_power_iteration(spark):
+    """Loops, an address that only pays itself, amounts of 0, repeated addresses and a payment to many, against pairs and numpy."""
+    import numpy as np
+
+    rnd = random.Random(5)
+    txs = [(f"t{i}", i, [(f"a{rnd.randrange(30)}", rnd.choice([0.5, 1.0, 2.5])) for _ in range(rnd.randrange(1, 5))], [(f"a{rnd.randrange(30)}", rnd.choice([0.1, 0.7, 3.0])) for _ in range(rnd.randrange(1, 5))]) for i in range(60)]
+    txs += [("self", 70, [("s0", 1.0)], [("s0", 0.9)]), ("many", 71, [("a1", 9.0), ("s0", 1.0)], [(f"m{i}", 0.1) for i in range(40)] + [("s0", 5.0)]), ("zero", 72, [("z", 0.0)], [("a2", 1.0)])]
+    ld = ledger(spark, txs)
+    edges, factors = G.flow_edges(ld), G.flow_factors(ld)
+    seeds = spark.createDataFrame([("a1",), ("a7",), ("nowhere",)], "address string")
+    positive = edges.where("src <> 'z'")
+    totals = {r["node"]: r["total"] for r in factors.totals().collect()}
+    want = {r["src"]: r["t"] for r in edges.groupBy("src").agg(F.sum("w").alias("t")).collect()}
+    assert totals == pytest.approx(want)
+    pairs = {(r["src"], r["dst"]): r["w"] for r in positive.collect()}
+    for turned in (False, True):
+        f = factors.reversed() if turned else factors
+        got = {r["node"]: r["rank"] for r in G.pagerank_factored(f, seeds, 6, 0.0).collect()}
+        names = sorted(got)
+        assert set(names) == {x for r in edges.collect() for x in (r["src"], r["dst"])}
+        m, at = np.zeros((len(names), len(names))), {x: i for i, x in enumerate(names)}
+        for (a, b), w in pairs.items():
+            a, b = (b, a) if turned else (a, b)
+            m[at[a], at[b]] = w
+        giving = m.sum(1)
+        giver = {r["node"] for r in f.totals().collect()}
+        m = np.divide(m, giving[:, None], out=np.zeros_like(m), where=giving[:, None] > 0)
+        s = np.array([x in ("a1", "a7") for x in names]) / 2
+        dangling = np.array([x not in giver for x in names])
+        v = np.full(len(names), 1 / len(names))
+        for _ in range(6):
+            v = 0.85 * (v @ m) + (0.85 * v[dangling].sum() + 0.15) * s
+        assert [got[x] for x in names] == pytest.approx(v.tolist(), abs=1e-9)
+    hubs = G.node_degree(edges, 12).where("is_hub")
+    one = {r["node"]: r["taint"] for r in G.haircut_taint(edges, seeds, 12, rounds=3).collect()}
+    two = {r["node"]: r["taint"] for r in G.haircut_taint_factored(factors, seeds, hubs, rounds=3).collect()}
+    assert two == pytest.approx(one) and hubs.count()

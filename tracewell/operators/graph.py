@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +84,56 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
 
 
+@dataclass(frozen=True)
+class FlowFactors:
+    """The edges of flow_edges() without their pairs: w(src, dst) is the sum over transactions of source weight x target weight.
+
+    sources and targets hold one row (txid, node, w) per transaction and address of a side, so their size is that of the ledger
+    where edges grow with inputs x outputs. An address on both sides of a transaction has no edge to itself: what it would give
+    itself is left out again wherever the sides meet.
+    """
+    sources: DataFrame
+    targets: DataFrame
+
+    def reversed(self) -> FlowFactors:
+        return FlowFactors(self.targets, self.sources)
+
+    def totals(self) -> DataFrame:
+        """(node, total): weight of all edges that leave a node; nodes without any are not there."""
+        sides = self.targets.groupBy("txid").agg(F.sum("w").alias("all_w"), F.count("*").alias("all_n"))
+        met = self.sources.join(sides, "txid").join(self.targets.select("txid", "node", F.col("w").alias("own")), ["txid", "node"], "left")
+        others = F.col("all_n") - F.col("own").isNotNull().cast("int")
+        return (met.where(others > 0).groupBy("node").agg(F.sum(F.col("w") * (F.col("all_w") - F.coalesce("own", F.lit(0.0)))).alias("total")))
+
+
+def flow_factors(ledger: Ledger) -> FlowFactors:
+    """The factored flow of a ledger whose mixing transactions, if they were traversed, have been taken out."""
+    total = ledger.tin.groupBy("txid").agg(F.greatest(F.sum("amount"), F.lit(1e-12)).alias("total"))
+    side = lambda rows: rows.groupBy("txid", F.col("address").alias("node")).agg(F.sum("amount").alias("w"))
+    shares = side(ledger.tin).join(total, "txid").select("txid", "node", (F.col("w") / F.col("total")).alias("w"))
+    return FlowFactors(stage(shares, "flow-sources"), stage(side(ledger.tout), "flow-targets"))
+
+
+def _through(sources: DataFrame, targets: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """One step of values (node, x) through transactions: (node, f) with f = sum of x(src) w(src) w(dst), loops left out.
+
+    Values are added up per transaction before they meet its targets. A loop is subtracted inside its transaction, where the
+    sum of a single giver is that giver's own term, so what only comes from a node itself is exactly zero.
+    """
+    own = sources.select("txid", "node", F.col("w").alias("own"))
+    loops = stage(targets.join(own, ["txid", "node"]), "flow-loops")
+    plain = stage(targets.join(own.select("txid", "node"), ["txid", "node"], "left_anti"), "flow-plain")
+
+    def step(values: DataFrame) -> DataFrame:
+        given = sources.join(values, "node").groupBy("txid").agg(F.sum(F.col("x") * F.col("w")).alias("y"))
+        others = F.greatest(F.col("y") - F.coalesce(F.col("x") * F.col("own"), F.lit(0.0)), F.lit(0.0))
+        met = plain.join(given, "txid").select("node", (F.col("w") * F.col("y")).alias("f")).unionByName(
+            loops.join(given, "txid").join(values, "node", "left").select("node", (F.col("w") * others).alias("f")))
+        return met.groupBy("node").agg(F.sum("f").alias("f"))
+
+    return step
+
+
 def pagerank(edges: DataFrame, seeds: DataFrame | None, max_rounds: int = SETTINGS.pagerank_max_rounds, tol: float = SETTINGS.pagerank_tol,
              alpha: float = SETTINGS.pagerank_alpha, weight: str | None = "w", nodes: DataFrame | None = None) -> DataFrame:
     """(node, rank): weighted PageRank with restart on ``seeds`` (everywhere when None); dangling mass goes to the restart set.
@@ -94,7 +147,27 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None, max_rounds: int = SETTIN
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
     if nodes is not None:
         ends = ends.union(nodes.select("node"))
-    base = ends.distinct().join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left")
+
+    def step(values: DataFrame) -> DataFrame:
+        return values.join(trans, values.node == trans.src).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("x") * F.col("p")).alias("f"))
+
+    return _ranks(ends, out.select(F.col("src").alias("node")), seeds, step, max_rounds, tol, alpha)
+
+
+def pagerank_factored(factors: FlowFactors, seeds: DataFrame | None, max_rounds: int = SETTINGS.pagerank_max_rounds, tol: float = SETTINGS.pagerank_tol,
+                      alpha: float = SETTINGS.pagerank_alpha) -> DataFrame:
+    """pagerank() over the flow of a ledger, from its factors: a round costs as much as the ledger has rows, not as many pairs.
+
+    An edge of weight 0 from a node without any other gives nothing on."""
+    out = stage(factors.totals(), "pr-out")
+    into = factors.reversed().totals()
+    sources = stage(factors.sources.join(out.where("total > 0"), "node").select("txid", "node", (F.col("w") / F.col("total")).alias("w")), "pr-sources")
+    return _ranks(out.select("node").union(into.select("node")), out.select("node"), seeds, _through(sources, factors.targets), max_rounds, tol, alpha)
+
+
+def _ranks(ends: DataFrame, giving: DataFrame, seeds: DataFrame | None, step: Callable[[DataFrame], DataFrame], max_rounds: int, tol: float, alpha: float) -> DataFrame:
+    """The iteration of pagerank(): ``step`` moves values (node, x) along the edges and gives (node, f)."""
+    base = ends.distinct().join(giving.select("node", F.lit(False).alias("dangling")), "node", "left")
     base = base.withColumn("dangling", F.coalesce("dangling", F.lit(True)))
     if seeds is None:
         base = base.withColumn("s", F.lit(1.0))
@@ -107,10 +180,9 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None, max_rounds: int = SETTIN
     cur = base.select("node", "dangling", "s", F.lit(1.0 / n).alias("rank"))
     dangling, old = n_dangling / n, None
     for _ in range(max_rounds):
-        into = cur.join(trans, cur.node == trans.src).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("inflow"))
-        nxt = cur.join(into, "node", "left").select(
+        nxt = cur.join(step(cur.select("node", F.col("rank").alias("x"))), "node", "left").select(
             "node", "dangling", "s",
-            (alpha * F.coalesce("inflow", F.lit(0.0)) + (alpha * dangling + 1 - alpha) * F.col("s") / F.lit(float(total_s))).alias("rank"),
+            (alpha * F.coalesce("f", F.lit(0.0)) + (alpha * dangling + 1 - alpha) * F.col("s") / F.lit(float(total_s))).alias("rank"),
             F.col("rank").alias("prev"))
         nxt = stage(nxt, "pr-round")
         delta, dangling = nxt.agg(F.sum(F.abs(F.col("rank") - F.col("prev"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()
@@ -153,6 +225,22 @@ def haircut_taint(edges: DataFrame, seeds: DataFrame, hub_degree: int = SETTINGS
     return cur
 
 
+def haircut_taint_factored(factors: FlowFactors, seeds: DataFrame, hubs: DataFrame, rounds: int = SETTINGS.taint_rounds, decay: float = SETTINGS.taint_decay, stage_every: int = 4) -> DataFrame:
+    """haircut_taint() from the factors of a ledger's flow; ``hubs`` (node) pass no taint on."""
+    into = stage(factors.reversed().totals(), "taint-in")
+    step = _through(stage(factors.sources.join(hubs.select("node"), "node", "left_anti"), "taint-sources"), factors.targets)
+    nodes = into.select("node").union(factors.totals().select("node"))
+    start = stage(seeds.select(F.col("address").alias("node")).distinct().join(nodes, "node", "left_semi").withColumn("taint", F.lit(1.0)), "taint-seeds")
+    targets = stage(into.join(start, "node", "left_anti").where("total > 0"), "taint-targets")
+    cur = start
+    for i in range(rounds):
+        flow = step(cur.select("node", F.col("taint").alias("x"))).join(targets, "node").select("node", F.least(F.lit(1.0), F.lit(decay) * F.col("f") / F.col("total")).alias("taint"))
+        cur = start.unionByName(flow.where("taint > 0"))
+        if (i + 1) % stage_every == 0:
+            cur = stage(cur, "taint-round")
+    return cur
+
+
 def bfs_hops(edges: DataFrame, seeds: DataFrame, max_hops: int = SETTINGS.max_hops, hub_degree: int = SETTINGS.hub_degree,
              undirected: bool = False, with_path: bool = False) -> DataFrame:
     """(node, hops[, path]) for nodes within reach of the seeds; hubs are entered but not passed, unless they are seeds.

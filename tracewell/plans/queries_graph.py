@@ -326,6 +326,20 @@ def gr4r(fx):
     return G.scaled_to_max(G.pagerank(G.reverse(flow(fx)), fx.seeds, PR_ROUNDS, 0.0), "ppr_reverse").withColumn("ppr_reverse", r6("ppr_reverse", 5))
 
 
+@query("gr4_personalised_pagerank_factored", with_ctes(["flow", "degree", "seeds"], f"""
+    SELECT node, {r(f'v / (SELECT max(v) FROM x{PR_ROUNDS})', 5)} AS ppr FROM x{PR_ROUNDS}""", extra=_pagerank_sql(PR_ROUNDS, "flow", False)))
+def gr4_factored(fx):
+    return G.scaled_to_max(G.pagerank_factored(G.flow_factors(fx.a), fx.seeds, PR_ROUNDS, 0.0), "ppr").withColumn("ppr", r6("ppr", 5))
+
+
+@query("gr4_personalised_pagerank_converged")
+def gr4_converged(fx):
+    """At the operator's own rounds and tolerance, in both directions."""
+    factors = G.flow_factors(fx.a)
+    down = G.scaled_to_max(G.pagerank_factored(factors, fx.seeds), "ppr")
+    return down.join(G.scaled_to_max(G.pagerank_factored(factors.reversed(), fx.seeds), "ppr_reverse"), "node", "full")
+
+
 def _taint_sql(rounds: int, hub: int) -> str:
     steps = [f"""
   share AS MATERIALIZED (SELECT src, e.dst, w / t AS p FROM flow e JOIN (SELECT dst AS k, sum(w) AS t FROM flow GROUP BY 1) ON k = e.dst
@@ -347,6 +361,11 @@ def gr5(fx):
     return taint(fx).withColumn("taint", r6("taint"))
 
 
+@query("gr5_haircut_taint_factored", with_ctes(["flow", "degree", "seeds"], f"SELECT node, {r('v')} AS taint FROM t8", extra=_taint_sql(8, HUB)))
+def gr5_factored(fx):
+    return G.haircut_taint_factored(G.flow_factors(fx.a), fx.seeds, G.node_degree(flow(fx), HUB).where("is_hub")).withColumn("taint", r6("taint"))
+
+
 def _bfs_sql(hops: int, arcs: str, hub: int) -> str:
     steps = [f"""
   arcs AS MATERIALIZED ({arcs}),
