@@ -177,6 +177,43 @@ def test_forecast_leaves_own_cluster_out(spark):
     assert f["a0"]["samples"] == 5 and f["a0"]["status"] == "CASHED_OUT" and f["a0"]["p50"] == 40.0 and f["a6"]["top_vasp"] == "X"
 
 
+def test_forecasts_equal_a_list_per_alert(spark):
+    """Random alerts, ties, a cluster with half of all cash-outs, a rare typology, nulls: sample, quantiles and destinations by hand."""
+    rnd = random.Random(5)
+    kinds = ["MIXING", "PEEL", "RARE", None]
+    alerts = [(f"a{i:03d}", f"w{i}", rnd.choice(["hot", "hot", "hot", *[f"C{k}" for k in range(12)], None]), rnd.choices(kinds, [6, 5, 1, 1])[0], rnd.choice([0.0, 1.0]), 0) for i in range(150)]
+    cash = [(a[0], a[2], a[3], rnd.choice("XYZW"), float(rnd.randrange(12) * 10)) for a in alerts if rnd.random() < 0.6]
+    odd = [(None, "C1", "PEEL", "X", 1.0), ("a001", "C1", "PEEL", None, 1.0), ("a002", "C1", "PEEL", "X", None)]
+    names = ["X", "Q"]
+    ad = spark.createDataFrame(alerts, "alert_id string, address string, cluster string, typology string, balance double, last_recv_us bigint")
+    cd = spark.createDataFrame(cash + odd, "alert_id string, cluster string, typology string, vasp string, delay double")
+    nd = spark.createDataFrame([(n, n, "VASP") for n in names] + [("n", None, "VASP"), ("m", "MM", "MERCHANT")], "address string, entity_name string, entity_type string")
+    got = {r["alert_id"]: r for r in Fc.forecasts(ad, cd, nd, F.lit(0)).collect()}
+    assert len(got) == len(alerts)
+    pool = [c for c in cash if c[1] is not None]
+    for aid, _, cluster, kind, balance, _ in alerts:
+        other = [c for c in pool if c[1] != cluster]
+        same = [c for c in other if kind is not None and c[2] == kind]
+        sample = same if len(same) >= 5 else other
+        own = [c for c in pool if cluster is not None and c[1] == cluster and c[0] != aid]
+        done = [c for c in pool if c[0] == aid]
+        g = got[aid]
+        assert g["samples"] == len(sample) and g["basis"] == ("typology" if all(c[2] == kind for c in sample) else "all_actors")
+        assert g["status"] == ("CASHED_OUT" if done else "PENDING" if balance else "NO_BALANCE")
+        d = sorted(c[4] for c in sample)
+        for name, q in Fc.QUANTILES.items():
+            at = q * (len(d) - 1)
+            lo = d[int(at)]
+            want = lo + (d[min(int(at) + (at > int(at)), len(d) - 1)] - lo) * (at - int(at))
+            assert abs(g[name] - want) <= 0.0501
+        every = {*names, *[c[3] for c in sample], *[c[3] for c in own]}
+        score = {v: 0.5 + sum(c[3] == v for c in sample) + 3 * sum(c[3] == v for c in own) for v in every}
+        best = sorted(every, key=lambda v: (-score[v], v))[:3]
+        assert [x["vasp"] for x in g["destinations"]] == best and abs(-g["destinations"][0]["neg"] - score[best[0]] / sum(score.values())) < 1e-12
+    assert Fc.forecasts(ad, cd.limit(0), nd, F.lit(0)).where("status = 'INSUFFICIENT_HISTORY'").count() == len(alerts)
+    assert Fc.forecasts(ad.limit(0), cd, nd, F.lit(0)).count() == 0
+
+
 def test_grounding_check_keeps_only_supported_sentences(spark):
     facts = ["The wallet sent 3.5 BTC to exchange BitMart.", "Its funds pass through a peel chain of 5 transactions."]
     text = ("Funds of 3.5 BTC reached exchange BitMart [F1]. The owner probably sent funds to BitMart [F1]. A peel chain of 9 transactions passed funds [F2]. "
