@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from tracewell.operators import watch as Wa
 from tracewell.plans.oracle import r, with_ctes
 from tracewell.plans.queries_ledger import r6 as r8
-from tracewell.plans.queries_io import TEXT_COLUMNS, csv_files, folder
+from tracewell.plans.queries_io import TEXT_COLUMNS, csv_files, folder, raw_records
 from tracewell.plans.registry import query
 from tracewell.session import shared_dir
 from tracewell.sources import ingest as In
 from tracewell.streaming import jobs as J
+from tracewell.streaming.inbox import Inbox
 from tracewell.streaming.store import FirstSeenStore, first_seen
 
 
@@ -39,6 +40,24 @@ def in15(fx):
     return log.join(n("records", "records"), "one").join(n("quarantine", "quarantined"), "one").drop("one")
 
 
+@query("in15_inbox", with_ctes(["recs"], """
+    SELECT txid, 2 * count(*) AS n, min(epoch_us(ts)) AS first_us, count(DISTINCT src_ip) AS ips, string_agg(DISTINCT src_ip, ',' ORDER BY src_ip) AS heard_from FROM recs WHERE fault IS NULL GROUP BY 1"""))
+def in15_inbox(fx):
+    """Every record once as CSV and once as JSON lines, with a file of unknown format among them, taken six files a step until the inbox is empty."""
+    base = f"{shared_dir(fx.spark)}/inbox-{uuid.uuid4().hex[:10]}"
+    rows = raw_records(fx)
+    rows.select(*TEXT_COLUMNS).write.option("header", True).csv(f"{base}/in")
+    side = lambda a, v: F.transform(F.arrays_zip(a, v), lambda p: F.struct(p[a].alias("address"), p[v].alias("value")))
+    lines = rows.withColumns({"senders": side("input_addresses", "input_amounts"), "receivers": side("output_addresses", "output_amounts")})
+    lines.select(*[c for c in TEXT_COLUMNS if c not in ("in_amounts", "out_amounts")]).write.mode("append").json(f"{base}/in")
+    rows.select("Tx_Hash").limit(1).write.mode("append").text(f"{base}/in")
+    box = Inbox(fx.spark, f"{base}/in", f"{base}/out", settle=0, files_per_step=6)
+    while box.step():
+        pass
+    ips = F.array_join(F.array_sort(F.collect_set("src_ip")), ",")  # peers that relayed one transaction
+    return box.records().groupBy("txid").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("timestamp")).alias("first_us"), F.count_distinct("src_ip").alias("ips"), ips.alias("heard_from"))
+
+
 @query("al12_watch_stream", with_ctes(["targets", "tin", "tx"], """
     SELECT 'W-' || substr(sha1(address || '|' || CAST(txid AS VARCHAR)), 1, 10) AS event_id, address, txid, src AS watch_source, CASE WHEN coalesce(confirmed, true) THEN 'TRACE_AND_REVIEW' ELSE 'UNCONFIRMED_MOVEMENT' END AS recommended
     FROM (SELECT DISTINCT address, txid, src FROM tin JOIN targets USING (address) WHERE watched_from IS NULL OR ts > watched_from) JOIN tx USING (txid)"""))
