@@ -73,7 +73,7 @@ cte("btout", ("be",), """
   UNION ALL SELECT event_id, ts, CAST(2 + k AS BIGINT), 'F' || CAST(event_id % 97 AS VARCHAR) || '_' || CAST(k AS VARCHAR), 0.5
   FROM be, (SELECT unnest([0, 1, 2]) AS k) WHERE event_type = 'error'""")
 # M
-cte("mk", ("li",), "SELECT l_orderkey AS txid, count(*) AS k FROM li WHERE l_orderkey % 40 = 0 GROUP BY 1 HAVING count(*) >= 3")
+cte("mk", ("li",), "SELECT l_orderkey AS txid, count(*) AS k FROM li GROUP BY 1 HAVING count(*) >= 3")
 cte("ml", ("li", "mk"), """
   SELECT txid, ts, k, l_partkey, l_quantity, CAST(l_linenumber AS BIGINT) * 100000000000 + l_partkey AS rn,
          concat_ws('_', CAST(txid AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR),

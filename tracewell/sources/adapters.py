@@ -141,7 +141,7 @@ class Fixtures:
     @cached_property
     def m(self) -> Ledger:
         def build():
-            li = self.lines.where(F.col("l_orderkey") % 40 == 0)
+            li = self.lines
             k = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("k")).where("k >= 3")
             return (li.join(k, "l_orderkey")
                     .select(F.col("l_orderkey").alias("txid"), "ts", "k", "l_partkey", "l_quantity",
