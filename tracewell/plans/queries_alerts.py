@@ -174,7 +174,7 @@ def gr9(fx):
                     "amount_btc", "deposit_us", F.coalesce("minutes_after_receipt", F.lit(-1.0)).alias("minutes_after_receipt"))
 
 
-FOLLOW_HOPS = 8
+FOLLOW_HOPS = 60
 
 
 def _follow_sql() -> str:

@@ -128,10 +128,10 @@ def in3(fx):
 
 
 @query("in4_map_columns", with_ctes(["recs"], """
-    SELECT fault IS DISTINCT FROM 'missing' AS has_ip, count(*) AS n, count(DISTINCT txid) AS txs FROM recs WHERE fault IS DISTINCT FROM 'txid' GROUP BY 1""").replace("AS has_ip", "AS b").replace("SELECT fault IS DISTINCT FROM 'missing' AS b", "SELECT CAST(fault IS DISTINCT FROM 'missing' AS INT) AS has_ip"))
+    SELECT fault IS DISTINCT FROM 'missing' AS has_ip, count(*) AS n, count(DISTINCT CASE WHEN fault = 'txid' THEN 'not-hex!' ELSE txid END) AS txs FROM recs GROUP BY 1""").replace("AS has_ip", "AS b").replace("SELECT fault IS DISTINCT FROM 'missing' AS b", "SELECT CAST(fault IS DISTINCT FROM 'missing' AS INT) AS has_ip"))
 def in4(fx):
     m = In.map_columns(In.read_csv(fx.spark, csv_files(fx)))
-    return m.where("txid <> 'not-hex!'").groupBy(F.col("src_ip").isNotNull().cast("int").alias("has_ip")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("txid").alias("txs"))
+    return m.groupBy(F.col("src_ip").isNotNull().cast("int").alias("has_ip")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("txid").alias("txs"))
 
 
 @query("in5_coerce", with_ctes(["recs"], f"""
