@@ -17,12 +17,14 @@ from tracewell.operators import evaluate as Ev
 from tracewell.operators import forecast as Fc
 from tracewell.operators import graph as G
 from tracewell.operators import investigator as I
+from tracewell.operators import leads as Le
 from tracewell.operators import mixer as M
 from tracewell.operators import models as Mo
 from tracewell.operators import temporal as Te
 from tracewell.operators import tracing as Tr
 from tracewell.operators import tx_features as T
 from tracewell.operators.ledger import Ledger
+from tracewell.session import stage
 
 T0 = dt.datetime(2024, 1, 1)
 ROW = "txid string, ts timestamp, idx bigint, address string, amount double"
@@ -214,6 +216,36 @@ def test_forecasts_equal_a_list_per_alert(spark):
     assert Fc.forecasts(ad.limit(0), cd, nd, F.lit(0)).count() == 0
 
 
+@pytest.mark.parametrize("posting", [0, 4, 1000])
+def test_best_leads_equal_all_pairs(spark, posting):
+    """Random habits with ties, missing signals and a relay that a third uses, whether relays have lists or are bounded by cells."""
+    rnd = random.Random(3)
+    rows = []
+    for c in range(140):
+        software, script, hour, fee = rnd.choice(["v1", "v2", "v2", None]), rnd.choice(["A", "B"]), rnd.randrange(24), rnd.choice([0.5, 1.0, 2.0, None])
+        for k in range(rnd.randrange(3, 7)):
+            ip = rnd.choice(["hot", f"10.0.0.{rnd.randrange(25)}", None])
+            rows.append((f"C{c:03d}", f"{c}-{k}", 3 + c % 4, (hour + rnd.randrange(3)) % 24 if c % 9 else None, software, script if rnd.random() < 0.8 else "C", None if fee is None else fee + rnd.random() / 10, ip))
+    habits = spark.createDataFrame(rows, "cluster string, txid string, n_tx long, hour int, software string, script string, fee double, ip string")
+    prints = stage(Le.operator_fingerprints(habits), "prints")
+    fees = {}
+    for r in rows:
+        fees.setdefault(r[0], []).append(r[6])
+    for r in prints.collect():
+        some = sorted(x for x in fees[r["cluster"]] if x is not None)
+        want = None if not some else (some[(len(some) - 1) // 2] + some[len(some) // 2]) / 2
+        assert r["fee"] == want or abs(r["fee"] - want) < 1e-12
+    queries = spark.createDataFrame([(f"C{c:03d}",) for c in range(0, 140, 5)] + [("none",)], "cluster string")
+    want = {}
+    for r in Le.pair_scores(prints, queries).collect():
+        want.setdefault(r["query"], []).append((-r["score"], r["cluster"], r["behaviour"], r["ip"]))
+    got = {}
+    for r in Le.best_pairs(prints, queries, 5, posting=posting).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = (-r["score"], r["cluster"], r["behaviour"], r["ip"])
+    assert len(got) == 28 and all([got[k][i] for i in range(1, 6)] == sorted(v)[:5] for k, v in want.items())
+    assert Le.best_pairs(prints.limit(0), queries, 5).count() == 0
+
+
 def test_grounding_check_keeps_only_supported_sentences(spark):
     facts = ["The wallet sent 3.5 BTC to exchange BitMart.", "Its funds pass through a peel chain of 5 transactions."]
     text = ("Funds of 3.5 BTC reached exchange BitMart [F1]. The owner probably sent funds to BitMart [F1]. A peel chain of 9 transactions passed funds [F2]. "

@@ -72,7 +72,7 @@ class Settings:
 
     # Same-operator leads
     operator_min_tx: int = 3
-    operator_max_tx: int = 400
+    operator_max_tx: int | None = None  # no limit; a number leaves busier clusters out
     operator_top: int = 5
     behaviour_cap: float = 0.6
     network_cap: float = 0.9

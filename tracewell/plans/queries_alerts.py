@@ -361,7 +361,7 @@ cte("opc", ("tin", "known"), """
   WHERE 'C-' || CAST(CAST(substr(address, 2) AS BIGINT) // 8 AS VARCHAR) NOT IN (SELECT 'C-' || CAST(CAST(substr(i.address, 2) AS BIGINT) // 8 AS VARCHAR) FROM tin i JOIN known USING (address))""")
 cte("opd", ("opc", "tx", "fp", "spy", "shape"), """
   SELECT c.cluster, c.txid, n.n_tx, hour(tx.ts) AS hr, fp.software, tx.script_type AS script, ln(1 + coalesce(tx.fee, 0) * 1e8 / (11 + 68 * greatest(n_in, 1) + 31 * n_out)) AS fee, spy_ip AS ip
-  FROM opc c JOIN (SELECT cluster, count(*) AS n_tx FROM opc GROUP BY 1 HAVING count(*) BETWEEN 3 AND 400) n USING (cluster) JOIN tx USING (txid) JOIN fp USING (txid) JOIN shape USING (txid) LEFT JOIN spy USING (txid)""")
+  FROM opc c JOIN (SELECT cluster, count(*) AS n_tx FROM opc GROUP BY 1 HAVING count(*) >= 3) n USING (cluster) JOIN tx USING (txid) JOIN fp USING (txid) JOIN shape USING (txid) LEFT JOIN spy USING (txid)""")
 cte("opk", ("opd",), """
   SELECT cluster, signal, cat, sqrt(k / sum(k) OVER (PARTITION BY cluster, signal)) * sqrt(ln((nn + 1) / (count(*) OVER (PARTITION BY signal, cat) + 1)) + 1e-9) / sqrt(ln(nn + 1)) AS v
   FROM (SELECT cluster, signal, cat, count(*) AS k FROM (SELECT cluster, 'software' AS signal, software AS cat FROM opd UNION ALL SELECT cluster, 'script', script FROM opd UNION ALL SELECT cluster, 'ip', ip FROM opd) WHERE cat IS NOT NULL GROUP BY 1, 2, 3),
