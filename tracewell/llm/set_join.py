@@ -349,7 +349,7 @@ def join(docs: DataFrame, recall: float = 0.995, small: int = 256) -> DataFrame:
     parts = member.groupBy("key").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens_in"))
     parts = parts.select("key", F.ceil(F.greatest(F.col("sets") / TILE_SETS, F.col("tokens_in") / TILE_TOKENS)).alias("want"))
     sets = shingled(rows, keeper(member.select(F.col("rid").alias("uid")), "uid"))
-    todo = tiled(member.select("key", "rid", "copies").join(parts, "key"), F.col("want")).join(sets, "rid").select("key", "i", "j", "part", "rid", "copies", "tokens")
+    todo = tiled(member.select("key", "rid", "copies").join(parts, "key"), F.col("want")).join(sets.hint("merge"), "rid").select("key", "i", "j", "part", "rid", "copies", "tokens")
     links = stage(in_groups(todo, similar, "a long, b long, n long"), "join-links")
     classes = connected_components(links.where("b is not null").select("a", "b"), "a", "b")
     n = links.where("n is not null").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n"))
