@@ -24,7 +24,7 @@ from tracewell.operators import temporal as Te
 from tracewell.operators import tracing as Tr
 from tracewell.operators import tx_features as T
 from tracewell.operators.ledger import Ledger
-from tracewell.session import stage
+from tracewell.session import recording, stage
 
 T0 = dt.datetime(2024, 1, 1)
 ROW = "txid string, ts timestamp, idx bigint, address string, amount double"
@@ -357,3 +357,11 @@ def test_factored_flow_equals_pairs_and_power_iteration(spark):
     one = {r["node"]: r["taint"] for r in G.haircut_taint(edges, seeds, 12, rounds=3).collect()}
     two = {r["node"]: r["taint"] for r in G.haircut_taint_factored(factors, seeds, hubs, rounds=3).collect()}
     assert two == pytest.approx(one) and hubs.count()
+
+
+def test_mixer_links_compute_their_parts_once(spark):
+    l = ledger(spark, [(1, 0, [("a", 1.2), ("b", 1.3), ("c", 1.4)], [("x", 1.0), ("y", 1.0), ("z", 1.0), ("u", 0.2), ("v", 0.3)])])
+    with recording() as written:
+        links = M.mixer_links(l, l.tx.select("txid"))
+    assert {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in written} == {"mix-pools", "mix-fits", "mix-open"}
+    assert links.where("kind = 'POOL'").count() == 9
