@@ -359,9 +359,34 @@ def test_factored_flow_equals_pairs_and_power_iteration(spark):
     assert two == pytest.approx(one) and hubs.count()
 
 
+def shuffles(df):
+    """Exchanges in the plan of a query, small tables not broadcast."""
+    spark = df.sparkSession
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_mixer_links_compute_their_parts_once(spark):
     l = ledger(spark, [(1, 0, [("a", 1.2), ("b", 1.3), ("c", 1.4)], [("x", 1.0), ("y", 1.0), ("z", 1.0), ("u", 0.2), ("v", 0.3)])])
     with recording() as written:
         links = M.mixer_links(l, l.tx.select("txid"))
     assert {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in written} == {"mix-pools", "mix-fits", "mix-open"}
     assert links.where("kind = 'POOL'").count() == 9
+
+
+def test_exposure_moves_links_twice_a_role_and_ranks_counterparties(spark):
+    links = spark.createDataFrame([(1, s, "d", 0.25, "POOL", 1.0, 5) for s in "abcfe"] + [(1, "a", "g", 1.0, "CHANGE", 0.5, 5)], "txid bigint, src string, dst string, prob double, kind string, amount double, k bigint")
+    taint = spark.createDataFrame([("e", 0.8), ("b", 0.4)], "address string, taint double")
+    wallets = spark.createDataFrame([("d",), ("a",)], "address string")
+    out = M.exposure(links, taint, wallets)
+    # links and taint meet by the other end, the result and the wallets by the wallet: four exchanges for each of two roles
+    assert shuffles(out) <= 8
+    got = {(r["wallet"], r["role"]): r for r in out.collect()}
+    assert set(got) == {("d", "RECEIVED"), ("a", "SENT")}
+    assert [c["address"] for c in got["d", "RECEIVED"]["candidates"]][:2] == ["e", "b"]
+    assert got["d", "RECEIVED"]["inherited_taint"] == pytest.approx(0.3) and got["a", "SENT"]["inherited_taint"] is None
+    assert (got["a", "SENT"]["link_kind"], got["a", "SENT"]["anonymity_set"]) == ("POOL", 5)
