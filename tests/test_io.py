@@ -111,3 +111,12 @@ def test_bad_rows_and_memos_keep_their_whole_text(spark, tmp_path):
     (tmp_path / "a.csv").write_text("txid,timestamp,src_ip,output_addresses,op_return\n" + f"bad,2024-01-01,1.1.1.1,x,{'m' * 3000}\n" + f"aaaaaaaa,2024-01-01,1.1.1.1,x,{'m' * 3000}\n")
     ok, bad = In.validate_split(In.ingest(In.read_csv(spark, str(tmp_path))))
     assert len(ok.first()["op_return"]) == 3000 and len(bad.first()["raw"]) > 3000
+
+
+def test_columns_are_mapped_by_one_look_up_per_field(spark):
+    """Spelled out per alias, the projection is too long for the JVM to compile and every row is interpreted."""
+    rows = spark.createDataFrame([({"time": "", "date": "2024-01-01", "hash": "ab", "ip": None, "src": "1.2.3.4"}, "raw", "f")], "raw map<string,string>, raw_text string, source_file string")
+    m = In.map_columns(rows)
+    assert m._jdf.queryExecution().optimizedPlan().toString().count("element_at") <= len(In.FIELD_ALIASES)
+    r = m.first()
+    assert (r["timestamp"], r["txid"], r["src_ip"], r["fee"]) == ("2024-01-01", "ab", "1.2.3.4", None)
