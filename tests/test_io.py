@@ -120,3 +120,17 @@ def test_columns_are_mapped_by_one_look_up_per_field(spark):
     assert m._jdf.queryExecution().optimizedPlan().toString().count("element_at") <= len(In.FIELD_ALIASES)
     r = m.first()
     assert (r["timestamp"], r["txid"], r["src_ip"], r["fee"]) == ("2024-01-01", "ab", "1.2.3.4", None)
+
+
+def test_records_to_ingest_are_not_copied(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tracewell.plans import queries_io as Q
+    t = spark.createDataFrame([(1, ["a"], [1.0], ["b"], [0.5], 0.5, "P2TR", 2, 0, True, None)], "txid bigint, input_addresses array<string>, input_amounts array<double>, output_addresses array<string>, "
+                              "output_amounts array<double>, fee double, script_type string, tx_version int, locktime bigint, rbf boolean, op_return string")
+    obs = spark.sql("SELECT 1L AS txid, timestamp'2024-01-01 00:00:00' AS ts, '10.0.0.1' AS src_ip, 8333 AS src_port")
+    monkeypatch.setattr(Q, "transactions", lambda fx: t)
+    fx = SimpleNamespace(spark=spark, obs=obs, _stage=lambda label, build: pytest.fail(f"{label} is written"))
+    rows = Q.raw_records(fx)
+    assert "RoundRobin" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [(r["Tx_Hash"], r["senders"], r["sport"]) for r in rows.collect()] == [("000000000001", "a", "8333")]
