@@ -390,3 +390,46 @@ def test_exposure_moves_links_twice_a_role_and_ranks_counterparties(spark):
     assert [c["address"] for c in got["d", "RECEIVED"]["candidates"]][:2] == ["e", "b"]
     assert got["d", "RECEIVED"]["inherited_taint"] == pytest.approx(0.3) and got["a", "SENT"]["inherited_taint"] is None
     assert (got["a", "SENT"]["link_kind"], got["a", "SENT"]["anonymity_set"]) == ("POOL", 5)
+
+
+def test_rows_staged_by_a_key_are_not_moved_again(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 5 else None, float(i)) for i in range(100)], "k long, v double")
+    kept = stage(rows, "by-key", "k")
+    sums = kept.groupBy("k").agg(F.sum("v").alias("s"))
+    assert "Exchange" not in sums._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, sums.collect()), key=str) == sorted(map(tuple, rows.groupBy("k").agg(F.sum("v")).collect()), key=str)
+
+
+def test_hops_read_arcs_in_place_and_hubs_pass_as_seeds_only(spark):
+    hub = [("h", f"t{i}", 1.0) for i in range(5)]
+    edges = spark.createDataFrame([*hub, ("s", "h", 1.0), ("s", "m", 1.0), ("m", "n", 3.0), (None, "x", 1.0)], "src string, dst string, w double")
+    degree = stage(G.node_degree(edges, 4), "d")
+    arcs = G.passing_arcs(edges, degree)
+    assert sorted(map(tuple, arcs.select("src", "dst").collect())) == [("m", "n"), ("s", "h"), ("s", "m")]
+    at = arcs.groupBy("src").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in at
+    hops = lambda seed, **more: dict(map(tuple, G.bfs_hops(edges, spark.createDataFrame([(seed,)], "address string"), 3, 4, **more).collect()))
+    assert hops("s") == hops("s", degree=degree, arcs=[arcs]) == {"s": 0, "h": 1, "m": 1, "n": 2}
+    assert hops("h") == hops("h", degree=degree, arcs=[arcs]) == {"h": 0, **{f"t{i}": 1 for i in range(5)}}
+    back = G.passing_arcs(G.reverse(edges), degree)
+    assert hops("n", undirected=True) == hops("n", undirected=True, degree=degree, arcs=[arcs, back]) == {"n": 0, "m": 1, "s": 2, "h": 3}
+    seeds = spark.createDataFrame([("s",)], "address string")
+    taint = dict(map(tuple, G.haircut_taint(edges, seeds, 4, 2, 0.9).collect()))
+    assert taint == pytest.approx({"s": 1.0, "h": 0.9, "m": 0.9, "n": 0.81}) == dict(map(tuple, G.haircut_taint(edges, seeds, 4, 2, 0.9, degree=degree, arcs=arcs).collect()))
+
+
+def test_pagerank_of_sources_with_many_and_few_edges(spark):
+    """Sources above and below the bound of edges are kept apart; the ranks are those of numpy."""
+    import numpy as np
+    pairs = [(0, i, 1.0 + i) for i in range(1, 71)] + [(i, (i * 3) % 71, 2.0) for i in range(1, 71) if (i * 3) % 71 != i]
+    edges = spark.createDataFrame(pairs, "src long, dst long, w double")
+    got = dict(map(tuple, G.pagerank(edges, spark.createDataFrame([(0,), (5,)], "address long"), 4, 0.0).collect()))
+    m = np.zeros((71, 71))
+    for a, b, w in pairs:
+        m[a, b] += w
+    m /= m.sum(axis=1, keepdims=True)
+    s, x = np.zeros(71), np.full(71, 1 / 71)
+    s[[0, 5]] = 0.5
+    for _ in range(4):
+        x = 0.85 * (x @ m) + 0.15 * s
+    assert [got[i] for i in range(71)] == pytest.approx(list(x))
