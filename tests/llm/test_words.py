@@ -159,6 +159,17 @@ def brute_collocations(rows, least, report):
     return sorted(out)
 
 
+def test_words_of_a_slice_stay_bytes():
+    texts = ["New York, É É\x0bof x", None, "", " \t.", "new york"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(["a", "b", None, "a", "a"]), pa.array(range(5))], ["text", "lang", "own"])
+    words = phrases.Words(batch)
+    assert words.row.tolist() == phrases.cut(batch)[2].tolist() == [0, 0, 0, 0, 0, 0, 4, 4]
+    assert all(isinstance(x, bytes) for x in words.names) and len(words.names) == 5
+    at, fingerprints, _ = words.runs(2, 64)
+    assert [words.text(i, 2) for i in at.tolist()] == ["new york", "É É", "of x", "new york"]
+    assert fingerprints[0] == fingerprints[3] and len(set(fingerprints.tolist())) == 3
+
+
 COLUMNS = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

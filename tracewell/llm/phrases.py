@@ -49,30 +49,33 @@ _CHECK = np.uint64(0xD1342543DE82EF95)
 _NONE = np.empty(0, np.uint64)
 
 
+def cut(batch: pa.RecordBatch) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The lower-cased texts end to end, where their words begin and end in them, and the row of every word."""
+    texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
+    sizes = np.array([len(x) + 1 for x in texts], np.int64)
+    raw = b"\n".join([*texts, b""]).translate(_TABLE)
+    data = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = (data != 32) & (data != 10)
+    edge = np.flatnonzero(inside[1:] != inside[:-1])  # begin, end, begin, end ...
+    return raw, edge, np.searchsorted(np.cumsum(sizes), edge[::2], side="right")
+
+
 class Words:
-    """The words of a slice of texts: word hashes, the text of each distinct word, and where runs may not go on."""
+    """The words of a slice of texts: word hashes, the bytes of each distinct word, and where runs may not go on."""
 
     def __init__(self, batch: pa.RecordBatch):
-        texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
-        sizes = np.array([len(x) + 1 for x in texts], np.int64)
-        raw = b"\n".join([*texts, b""]).translate(_TABLE)
+        raw, edge, self.row = cut(batch)
         data = np.frombuffer(raw, np.uint8)
-        inside = np.zeros(len(data) + 2, bool)
-        inside[1:-1] = (data != 32) & (data != 10)
-        edge = np.flatnonzero(inside[1:] != inside[:-1])  # begin, end, begin, end ...
         begins = edge[::2]
         both = pa.LargeBinaryArray.from_buffers(pa.large_binary(), max(len(edge) - 1, 0), [None, pa.py_buffer(edge), pa.py_buffer(raw)])
         named = both.take(pa.array(np.arange(0, len(edge) - 1, 2))).dictionary_encode()
-        self.names, self.code = named.dictionary, named.indices.to_numpy()
-        piece = np.concatenate(([0], np.cumsum(data == 10)))
-        self.piece = piece[begins]
-        self.row = np.searchsorted(np.cumsum(sizes), begins, side="right")
-        texts_of = np.array([x.decode() for x in self.names.to_pylist()] or [""], object)
-        self.texts = texts_of
+        self.names, self.code = named.dictionary.to_numpy(zero_copy_only=False), named.indices.to_numpy()
+        self.piece = np.searchsorted(np.flatnonzero(data == 10), begins)
         tongue = pd.util.hash_array(np.array([x or "" for x in batch.column("lang").to_pylist()], object), categorize=False)
         self.tongue = mix(tongue + _BASE)[self.row] if len(self.row) else _NONE
         if len(self.code):
-            hashes = mix(pd.util.hash_array(texts_of, categorize=False))
+            hashes = mix(pd.util.hash_array(self.names, categorize=False))  # of bytes as of the text that they encode
             self.sums = [self.prefix(hashes[self.code], base) for base in (_BASE, _CHECK)]
         self.own = batch.column("own").to_numpy()
 
@@ -96,7 +99,7 @@ class Words:
         return at, out[0] >> np.uint64(64 - bits), out[1]
 
     def text(self, at: int, k: int) -> str:
-        return " ".join(self.texts[self.code[at:at + k]])
+        return b" ".join(self.names[self.code[at:at + k]]).decode()
 
 
 def places(fingerprints: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +269,7 @@ def totals(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", SLICE_CHARS):
-            n = np.bincount(Words(batch).row, minlength=batch.num_rows)
+            n = np.bincount(cut(batch)[2], minlength=batch.num_rows)
             t = pa.table({"lang": batch.column("lang"), "words": pa.array(n, pa.int64())}).group_by("lang").aggregate([("words", "sum")])
             yield from t.rename_columns(["lang", "words"]).to_batches()
 
