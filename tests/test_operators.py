@@ -216,6 +216,35 @@ def test_forecasts_equal_a_list_per_alert(spark):
     assert Fc.forecasts(ad.limit(0), cd, nd, F.lit(0)).count() == 0
 
 
+def test_operator_eval_keeps_pairs_in_their_tasks(spark):
+    """Ranks equal those of all pairs, also for clusters of two owners; what is shuffled is rows of queries, not of pairs and signals."""
+    rnd = random.Random(5)
+    rows = [(f"C{c:02d}", f"{c}-{k}", 3, rnd.randrange(24), rnd.choice(["v1", "v2"]) if c % 7 else None, rnd.choice(["A", "B"]), rnd.choice([0.5, 1.0, None]), f"10.0.0.{rnd.randrange(9)}")
+            for c in range(40) for k in range(3)]
+    habits = spark.createDataFrame(rows, "cluster string, txid string, n_tx long, hour int, software string, script string, fee double, ip string")
+    prints = stage(Le.operator_fingerprints(habits), "prints")
+    owned = [(f"C{c:02d}", c % 9 if c != 11 else None) for c in range(40)] + [("C04", 2), ("C20", 2)]
+    queries = spark.createDataFrame([(f"C{c:02d}",) for c in range(0, 40, 4)] + [("none",)], "cluster string")
+    got = Le.operator_eval(prints, queries, spark.createDataFrame(owned, "cluster string, owner long"))
+    owners = {}
+    for c, o in owned:
+        owners.setdefault(c, set()).update([] if o is None else [o])
+    pairs = {}
+    for r in Le.pair_scores(prints, queries).collect():
+        pairs.setdefault(r["query"], []).append(r)
+    for r in got.collect():
+        column = {"all": "score", "without_network": "behaviour"}.get(r["signal"], r["signal"])
+        ranks = []
+        for q, some in pairs.items():
+            order = sorted(some, key=lambda p: (-p[column], p["cluster"]))
+            ranks += [k + 1 for k, p in enumerate(order) if owners[p["cluster"]] & owners[q]][:1]
+        assert r["queries"] == len(ranks) and abs(r["mrr"] - sum(1 / k for k in ranks) / len(ranks)) < 1e-9
+        assert abs(r["hit_at_5"] - sum(k <= 5 for k in ranks) / len(ranks)) < 1e-9
+    assert got.count() == 7
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "signal" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
 @pytest.mark.parametrize("posting", [0, 4, 1000])
 def test_best_leads_equal_all_pairs(spark, posting):
     """Random habits with ties, missing signals and a relay that a third uses, whether relays have lists or are bounded by cells."""
