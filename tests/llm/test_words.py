@@ -98,6 +98,15 @@ def brute_variants(words, ratio):
     return rows
 
 
+def test_signatures_of_words_are_not_broadcast(spark):
+    """Twenty rows a word stood behind explodes that size estimates do not see: a small vocabulary filled the driver."""
+    words = spark.createDataFrame([("letters", 50), ("leters", 5), ("letter", 7), ("another", 9)], "word string, n long")
+    pairs = spelling.near_pairs(words)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {(r["word"], r["other"]) for r in pairs.collect()} == {("letters", "leters"), ("leters", "letters"), ("letters", "letter"), ("letter", "letters")}
+
+
 def test_spelling_variants_query(spark, folder, rows):
     count = Counter()
     for r in rows:

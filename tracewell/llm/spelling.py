@@ -90,7 +90,8 @@ def near_pairs(words: DataFrame, min_length: int = MIN_LENGTH, parts: int = PART
     rows = rows.select("word", "n", "signature", F.explode("ends").alias("end")).select("word", "n", F.xxhash64("signature", "end").alias("key"), F.char_length("word").alias("length"))
     a, b = rows.alias("a"), rows.alias("b")
     near = (F.abs(F.col("a.length") - F.col("b.length")) <= 1) & (F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1)
-    pairs = (a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.word") < F.col("b.word")) & near)
+    # merged at any size: each side holds 2 x C(parts, 2) rows a word, which size estimates do not see behind the explodes
+    pairs = (a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.word") < F.col("b.word")) & near)
              .select(F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("other"), F.col("b.n").alias("other_n")).distinct())
     both = F.explode(F.array(F.struct("word", "n", "other", "other_n"), F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))))
     return pairs.select(both.alias("x")).select("x.*")
