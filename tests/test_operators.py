@@ -407,6 +407,15 @@ def test_mixer_links_compute_their_parts_once(spark):
     assert links.where("kind = 'POOL'").count() == 9
 
 
+def test_candidates_of_a_mix_are_counted_in_one_move(spark):
+    """They were moved once to be counted and twice to meet their count again."""
+    l = ledger(spark, [(1, 0, [("a", 1.2), ("b", 1.3), ("c", 1.4), ("d", 1.2)], [("x", 1.0), ("y", 1.0), ("z", 1.0), ("u", 0.2), ("v", 0.3), ("w", 0.77), ("t", 0.83)])])
+    links = M.mixer_links(l, l.tx.select("txid"))
+    assert shuffles(links.where("kind <> 'POOL'")) <= 2
+    share = {(r["kind"], r["dst"], r["src"]): r["prob"] for r in links.where("kind <> 'POOL'").collect()}
+    assert share == {("CHANGE", "u", "a"): 0.5, ("CHANGE", "u", "d"): 0.5, ("CHANGE", "v", "b"): 1.0, **{("UNEXPLAINED", o, s): 0.25 for o in "wt" for s in "abcd"}}
+
+
 def test_exposure_moves_links_twice_a_role_and_ranks_counterparties(spark):
     links = spark.createDataFrame([(1, s, "d", 0.25, "POOL", 1.0, 5) for s in "abcfe"] + [(1, "a", "g", 1.0, "CHANGE", 0.5, 5)], "txid bigint, src string, dst string, prob double, kind string, amount double, k bigint")
     taint = spark.createDataFrame([("e", 0.8), ("b", 0.4)], "address string, taint double")
